@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, embedding_cells, secret_ledger
+from . import bpe, chat_format, decontaminate, embedding_cells, secret_ledger
 
 QUERIES = {
     "op1_secret_ledger": secret_ledger.op1_secret_ledger,
     "op4_chat_format": chat_format.op4_chat_format,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op9_embedding_cells": embedding_cells.op9_embedding_cells,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLE_SQL = {
     "op1_secret_ledger": secret_ledger.ORACLE,
     "op4_chat_format": chat_format.ORACLE,
+    "op6_decontaminate": decontaminate.ORACLE,
     "op9_embedding_cells": embedding_cells.ORACLE,
 }
