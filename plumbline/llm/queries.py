@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, embedding_cells, secret_ledger
+from . import bpe, chat_format, decontaminate, embedding_cells, line_templates, secret_ledger
 
 QUERIES = {
     "op1_secret_ledger": secret_ledger.op1_secret_ledger,
+    "op2_line_templates": line_templates.op2_line_templates,
     "op4_chat_format": chat_format.op4_chat_format,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op9_embedding_cells": embedding_cells.op9_embedding_cells,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_secret_ledger": secret_ledger.ORACLE,
+    "op2_line_templates": line_templates.ORACLE,
     "op4_chat_format": chat_format.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op9_embedding_cells": embedding_cells.ORACLE,
