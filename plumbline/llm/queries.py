@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, embedding_cells, line_templates, secret_ledger
+from . import bpe, chat_format, decontaminate, embedding_cells, line_templates, secret_ledger, shingle_forest
 
 QUERIES = {
     "op1_secret_ledger": secret_ledger.op1_secret_ledger,
     "op2_line_templates": line_templates.op2_line_templates,
+    "op3_shingle_forest": shingle_forest.op3_shingle_forest,
     "op4_chat_format": chat_format.op4_chat_format,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op9_embedding_cells": embedding_cells.op9_embedding_cells,
@@ -15,6 +16,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_secret_ledger": secret_ledger.ORACLE,
     "op2_line_templates": line_templates.ORACLE,
+    "op3_shingle_forest": shingle_forest.ORACLE,
     "op4_chat_format": chat_format.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op9_embedding_cells": embedding_cells.ORACLE,
