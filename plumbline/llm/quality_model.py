@@ -25,12 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
-from .shingle_forest import word_hashes
+from .shingle_forest import word_and_stem_hashes, word_hashes
 
 #: Documents that are fitted on at most; features of a document are hashed to BITS bits.
 SAMPLE, BITS = 20_000, 18
-ALPHA, BETA, L1, L2, EPOCHS = 0.15, 1.0, 1.0, 0.5, 3
+#: Bytes of a word's stem.
+STEM = 4
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 3.0, 0.02, 6
 THRESHOLD = 0.5
+#: The least accuracy that the labels table is given.
+TRUST = 1 - 1e-6
 LABELLERS = ("labels", "case", "symbols", "word_length", "variety", "repeats")
 
 _KIND = np.zeros(256, dtype=np.uint8)  # 1 upper, 2 lower, 3 digit, 4 white space, 5 other ASCII
@@ -67,11 +71,12 @@ def votes(m: dict[str, float]) -> list[int]:
 
 
 def features(text: str) -> tuple[np.ndarray, list[int]]:
-    """(distinct hashed feature ids, votes): words, and each measure as one of a few steps."""
-    w = word_hashes(text)
+    """(distinct hashed feature ids, votes): words, their stems, and each measure as one of a few steps."""
+    w, stems = word_and_stem_hashes(text, STEM)
     m = measures(text, w)
     steps = [hash_step(i, int(min(24, 24 * v))) for i, v in enumerate((m["upper"], min(1.0, 8 * m["odd"]), m["space"], m["digit"], min(1.0, m["length"] / 24), m["variety"], m["pairs"], math.log2(1 + m["words"]) / 24))]
-    return np.unique(np.concatenate(((w >> np.uint64(64 - BITS)).astype(np.int32), np.array(steps, dtype=np.int32)))), votes(m)
+    top = np.uint64(64 - BITS)
+    return np.unique(np.concatenate(((w >> top).astype(np.int32), ((stems * np.uint64(0x9E3779B97F4A7C15)) >> top).astype(np.int32), np.array(steps, dtype=np.int32)))), votes(m)
 
 
 def hash_step(measure: int, step: int) -> int:
@@ -119,7 +124,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) ->
     """EM over (votes, count): P(vote | class) as array (labeller, class, vote + 1), and P(good).
 
     Labellers are taken as independent given the class. Starts from majority votes, the labels table (first)
-    counting double, and keeps it at least nine tenths right, so the classes cannot trade places."""
+    counting double, and keeps its accuracy at TRUST or more: it anchors the classes, which else could trade places."""
     v = np.array([p for p, _ in patterns], dtype=int)
     n = np.array([c for _, c in patterns], dtype=float)
     weight = np.array([2.0] + [1.0] * (v.shape[1] - 1))
@@ -135,7 +140,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) ->
         table_ /= table_.sum(axis=2, keepdims=True)
         for c, wrong, right in ((1, 0, 2), (0, 2, 0)):
             said = table_[0, c, 0] + table_[0, c, 2]
-            table_[0, c, right] = max(table_[0, c, right], 0.9 * said)
+            table_[0, c, right] = max(table_[0, c, right], TRUST * said)
             table_[0, c, wrong] = said - table_[0, c, right]
         new = posterior(v, table_, prior)
         if np.abs(new - q).max() < 1e-7:
@@ -152,19 +157,27 @@ def posterior(v: np.ndarray, table_: np.ndarray, prior: float) -> np.ndarray:
 
 
 def train(rows: list[tuple[np.ndarray, float]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer by FTRL-proximal, on (feature ids, P(good)) in the given order."""
+    """Weights and bias of a logistic scorer by FTRL-proximal, on (feature ids, P(good)) in the given order.
+
+    Words and stems may only count against a document, so that a long text cannot outweigh what is bad in it."""
     z, n = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
+    word = 1 << BITS
+
+    def weight(z: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+        w = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+        return np.where((at < word) & (w > 0), 0.0, w)
+
     for _ in range(epochs):
         for ids, y in rows:
             at = np.append(ids, SIZE)
             zi, ni = z[at], n[at]
-            w = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
+            w = weight(zi, ni, at)
             p = 1 / (1 + math.exp(-max(-35.0, min(35.0, float(w.sum())))))
             g = p - y
             s = (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA
             z[at] += g - s * w
             n[at] += g * g
-    w = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+    w = weight(z, n, np.arange(SIZE + 1))
     return w[:SIZE].astype(np.float32), float(w[SIZE])
 
 

@@ -63,15 +63,22 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word, in order, by sums over the text's bytes."""
+    return word_and_stem_hashes(text, 0)[0]
+
+
+def word_and_stem_hashes(text: str, stem: int) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes(text), and as many hashes of the words' first `stem` bytes (empty for 0)."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
+    none = np.zeros(0, dtype=np.uint64)
     if not len(data):
-        return np.zeros(0, dtype=np.uint64)
+        return none, none
     inside = np.concatenate(([False], _IS_WORD[data], [False]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
     up, down = _power_table(len(data))
     total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)))
-    return _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    hashed = lambda end: _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return hashed(end), hashed(np.minimum(end, start + stem)) if stem else none
 
 
 def shingles(words: np.ndarray, n: int = N) -> np.ndarray:
