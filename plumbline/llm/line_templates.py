@@ -18,6 +18,8 @@ a line that repeats within one document only is kept; rows that share a doc_id a
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,38 +35,44 @@ def lines_of(text: Column) -> Column:
 
 def masked_lines(text: Column) -> Column:
     """The lines with single spaces between tokens, none at the ends, and <*> for tokens with digits."""
-    flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\x0B\f\r]+", " ")
-    flat = F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, r"[^ \n]*[0-9][^ \n]*", FIELD)).otherwise(flat)
-    return F.transform(F.split(flat, "\n", -1), lambda x: F.trim(x))
+    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731  names x, so that it is evaluated once
+    odd = lambda x: functools.reduce(lambda a, b: a | b, [x.contains(c) for c in ("  ", "\t", "\r", "\x0b", "\f")])
+    spaced = once(F.coalesce(text, F.lit("")), lambda x: F.when(odd(x), F.regexp_replace(x, r"[ \t\x0B\f\r]+", " ")).otherwise(x))
+    masked = once(spaced, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[^ \n]*[0-9][^ \n]*", FIELD)).otherwise(x))
+    return F.transform(F.split(masked, "\n", -1), lambda x: F.trim(x))
+
 
+def template_paths(lines: Column) -> Column:
+    """The templates of masked lines: array of (k1, k2, line), none for lines that are too short. Whether a line
+    is long stands in the last bit of k1, so a count is known to be enough from the key alone.
 
-def template_paths(line: Column) -> Column:
-    """The templates of a masked line: array of (k1, k2), none if it is too short. Whether the line is long
-    stands in the last bit of k1, so a count is known to be enough from the key alone."""
-    n = F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
-    lead = F.substring_index(line, " ", LEAD)
+    In stages (count, cut, hash), as an expression inside a lambda is evaluated wherever it is named."""
+    counted = F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).alias("n")))
+    cut = lambda s, k: F.call_function("substring_index", s["x"], F.lit(" "), k)
+    at = lambda s, q: F.lit(LEAD) + F.floor((s["n"] - LEAD) * q / PARTS).cast("int")
+    piece = lambda part, before, after: F.struct(F.lit(part).alias("part"), before.alias("before"), after.alias("after"))
 
-    def key(part: int, before: Column, after: Column) -> Column:
-        path = (n, lead, F.lit(part), before, after)
-        long = (n >= LONG).cast("long")
-        return F.struct((F.shiftleft(F.xxhash64(*path), 1) + long).alias("k1"), F.hash(*reversed(path)).alias("k2"))
+    def cuts(s: Column) -> Column:
+        exact = piece(0, s["x"], F.lit(""))
+        varied = [piece(q + 1, cut(s, at(s, q)), cut(s, at(s, q + 1) - s["n"])) for q in range(PARTS)]
+        many = F.when(s["n"] >= GENERAL, F.array(exact, *varied)).otherwise(F.array(exact))
+        return F.struct(s["i"].alias("i"), s["n"].alias("n"), cut(s, F.lit(LEAD)).alias("lead"), many.alias("many"))
 
-    def general(q: int) -> Column:
-        a, b = (F.lit(LEAD) + F.floor((n - LEAD) * x / PARTS).cast("int") for x in (q, q + 1))
-        cut = lambda k: F.call_function("substring_index", line, F.lit(" "), k)
-        return key(q + 1, cut(a), cut(b - n))
+    def keys(s: Column, c: Column) -> Column:
+        path = (s["n"], s["lead"], c["part"], c["before"], c["after"])
+        return F.struct((F.shiftleft(F.xxhash64(*path), 1) + (s["n"] >= LONG).cast("long")).alias("k1"), F.hash(*reversed(path)).alias("k2"), s["i"].alias("line"))
 
-    exact = key(0, line, F.lit(""))
-    return F.when(n >= GENERAL, F.array(exact, *[general(q) for q in range(PARTS)])).when(n >= MIN_TOKENS, F.array(exact)).otherwise(F.array().cast("array<struct<k1:bigint,k2:int>>"))
+    parsed = F.transform(F.filter(counted, lambda s: s["n"] >= MIN_TOKENS), cuts)
+    return F.flatten(F.transform(parsed, lambda s: F.transform(s["many"], lambda c: keys(s, c))))
 
 
 def parse(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id_col, paths array of (k1, k2, line)) sorted by key; line is -1 - line for repeats within a document."""
-    each = F.flatten(F.transform(masked_lines(F.col("text")), lambda x, i: F.transform(template_paths(x), lambda k: F.struct(k["k1"].alias("k1"), k["k2"].alias("k2"), i.alias("line")))))
-    rows = docs.select(id_col, F.array_sort(each).alias("paths"))
-    again = lambda x, i: (i > 0) & (F.col("paths")[F.greatest(i - 1, F.lit(0))]["k1"] == x["k1"]) & (F.col("paths")[F.greatest(i - 1, F.lit(0))]["k2"] == x["k2"])
-    flag = F.transform("paths", lambda x, i: F.struct(x["k1"].alias("k1"), x["k2"].alias("k2"), F.when(again(x, i), -1 - x["line"]).otherwise(x["line"]).alias("line")))
-    return rows.where(F.size("paths") > 0).select(id_col, flag.alias("paths"))
+    rows = docs.select(id_col, F.array_sort(template_paths(masked_lines(F.col("text")))).alias("paths"))
+    pairs = rows.select(id_col, F.arrays_zip(F.col("paths").alias("x"), F.concat(F.array(F.lit(None).cast("struct<k1:bigint,k2:int,line:int>")), "paths").alias("before")).alias("pairs"))
+    again = lambda p: F.coalesce((p["before"]["k1"] == p["x"]["k1"]) & (p["before"]["k2"] == p["x"]["k2"]), F.lit(False))
+    flag = lambda p: F.struct(p["x"]["k1"].alias("k1"), p["x"]["k2"].alias("k2"), F.when(again(p), -1 - p["x"]["line"]).otherwise(p["x"]["line"]).alias("line"))
+    return pairs.select(id_col, F.transform(F.filter("pairs", lambda p: p["x"].isNotNull()), flag).alias("paths"))
 
 
 def recurring(parsed: DataFrame, id_col: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
