@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import BROADCAST_ROWS, LOWER, UPPER, WORD, Scratch, ascii_lower, small, table
+from .shared import BROADCAST_ROWS, BETWEEN, LOWER, UPPER, Scratch, ascii_lower, small, table
 
 WINDOW = 10
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """Split at what is no word character, which is several times as fast as extracting the words."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN, -1), "")
 
 
 def _key(id_col: str) -> list[Column]:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Words after A-Z are lower-cased: digits, a-z and every character beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table may be broadcast up to so many rows of at most a few hundred bytes; callers count first.
 BROADCAST_ROWS = 200_000
