@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import BROADCAST_ROWS, BETWEEN, LOWER, UPPER, Scratch, ascii_lower, small, table
+from .shared import BROADCAST_ROWS, BETWEEN, LOWER, UPPER, Scratch, ascii_lower, once, small, table
 
 WINDOW = 10
 
@@ -60,22 +60,25 @@ def placements(docs: DataFrame, pre: DataFrame, id_col: str = "doc_id") -> DataF
 
 
 def verify(docs: DataFrame, placed: DataFrame, its: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(k1, k2, hit, found): positions of document words inside true windows, and the items found."""
+    """(k1, k2, hit, found): positions of document words inside true windows, and the items found; both empty
+    where no placement is true."""
     known = placed.join(small(its, BROADCAST_ROWS // 10), "row")
     per = known.groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "shift", "iw", "w")).alias("ps"))
-    texts = docs.select(*_key(id_col), "text")
-    both = texts.join(per, ["k1", "k2"]).select("k1", "k2", words(F.col("text")).alias("dw"), "ps")
-
-    def starts(p: Column) -> Column:
-        lo = F.greatest(F.lit(0), -p["shift"])
-        hi = F.least(F.size(p["iw"]), F.size("dw") - p["shift"]) - p["w"]
-        every = F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
-        true = F.filter(every, lambda s: F.slice(p["iw"], s + 1, p["w"]) == F.slice("dw", s + p["shift"] + 1, p["w"]))
+    both = docs.select(*_key(id_col), "text").join(per, ["k1", "k2"])
+
+    def starts(dw: Column, p: Column) -> Column:
+        """Where true windows of the item begin in the document: runs of equal words, as a string of 0 and 1."""
+        same = F.transform(p["iw"], lambda x, i: F.when(x == F.get(dw, i + p["shift"]), "1").otherwise("0"))
+        true = once(F.array_join(same, ""), lambda bits: F.filter(F.sequence(F.lit(0), F.size(p["iw"]) - p["w"]), lambda s: F.substring(bits, s + 1, p["w"]) == F.repeat(F.lit("1"), p["w"])))
         return F.struct(p["item_id"].alias("item_id"), p["w"].alias("w"), F.transform(true, lambda s: s + p["shift"]).alias("at"))
 
-    done = both.withColumn("got", F.filter(F.transform("ps", starts), lambda x: F.size(x["at"]) > 0)).where("size(got) > 0")
-    spread = F.flatten(F.transform("got", lambda x: F.flatten(F.transform(x["at"], lambda s: F.sequence(s, s + x["w"] - 1)))))
-    return done.select("k1", "k2", F.array_distinct(spread).alias("hit"), F.array_sort(F.array_distinct(F.transform("got", lambda x: x["item_id"]))).alias("found")).dropDuplicates(["k1", "k2"])
+    def judged(x: Column) -> Column:
+        got = F.filter(F.transform(x["ps"], lambda p: starts(x["dw"], p)), lambda g: F.size(g["at"]) > 0)
+        spread = lambda g: F.flatten(F.flatten(F.transform(g, lambda y: F.transform(y["at"], lambda s: F.sequence(s, s + y["w"] - 1)))))
+        return once(got, lambda g: F.struct(F.array_distinct(spread(g)).alias("hit"), F.array_sort(F.array_distinct(F.transform(g, lambda y: y["item_id"]))).alias("found")))
+
+    out = both.select("k1", "k2", once(F.struct(words(F.col("text")).alias("dw"), F.col("ps").alias("ps")), judged).alias("x"))
+    return out.select("k1", "k2", "x.*").dropDuplicates(["k1", "k2"])
 
 
 def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> DataFrame:
@@ -84,7 +87,7 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
     own = docs.select(id_col, "text")
     its = run.keep(items(benchmark, window), "items")
     pre = run.keep(prefixes(its, own), "prefixes")
-    return verify(own, placements(own, pre, id_col), its, id_col)
+    return run.keep(verify(own, placements(own, pre, id_col), its, id_col), "hits").where("size(hit) > 0")
 
 
 def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

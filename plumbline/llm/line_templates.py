@@ -23,7 +23,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, table
+from .shared import Scratch, once, table
 
 LEAD, PARTS, MIN_TOKENS, GENERAL, LONG, MIN_DOCS = 2, 3, 4, 12, 20, 3
 FIELD = "<*>"
@@ -35,7 +35,6 @@ def lines_of(text: Column) -> Column:
 
 def masked_lines(text: Column) -> Column:
     """The lines with single spaces between tokens, none at the ends, and <*> for tokens with digits."""
-    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731  names x, so that it is evaluated once
     odd = lambda x: functools.reduce(lambda a, b: a | b, [x.contains(c) for c in ("  ", "\t", "\r", "\x0b", "\f")])
     spaced = once(F.coalesce(text, F.lit("")), lambda x: F.when(odd(x), F.regexp_replace(x, r"[ \t\x0B\f\r]+", " ")).otherwise(x))
     masked = once(spaced, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[^ \n]*[0-9][^ \n]*", FIELD)).otherwise(x))

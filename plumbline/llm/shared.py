@@ -28,6 +28,11 @@ def ascii_lower(text):
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def once(x, f):
+    """f(x) with x evaluated once, however often f names it (inside a lambda Spark shares no subexpressions)."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir; own one only where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
