@@ -199,15 +199,16 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [features(x.as_py() or "") for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int8()))], names=["id", "gold", "ids", "votes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.int8()))], names=["id", "gold", "ids", "votes"])
 
     kind = dict(docs.dtypes)[id_col]
-    seen = part.select(id_col, "text", F.col("gold").cast("int")).mapInArrow(run, f"id {kind}, gold int, ids array<int>, votes array<tinyint>")
+    seen = part.select(id_col, "text", F.col("gold").cast("int")).mapInArrow(run, f"id {kind}, gold int, ids binary, votes array<tinyint>")
+    # feature ids travel as bytes: a list of Python numbers would take ten times the driver's memory
     rows = seen.limit(sample).collect()
     rows.sort(key=lambda r: (hash_order(r["id"]), len(r["ids"])))
     v = np.array([[r["gold"] or 0, *r["votes"]] for r in rows], dtype=int)
     good = posterior(v, table_, prior)
-    weights, bias = train([(np.array(r["ids"], dtype=np.int64), float(y)) for r, y in zip(rows, good, strict=True)])
+    weights, bias = train([(np.frombuffer(r["ids"], dtype=np.int32), float(y)) for r, y in zip(rows, good, strict=True)])
     right = {name: float(prior * table_[j, 1, 2] + (1 - prior) * table_[j, 0, 0]) / max(1e-9, float(prior * (table_[j, 1, 0] + table_[j, 1, 2]) + (1 - prior) * (table_[j, 0, 0] + table_[j, 0, 2]))) for j, name in enumerate(LABELLERS)}
     return Model(weights, bias, right, prior, len(rows))
 
