@@ -101,8 +101,9 @@ def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: i
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> DataFrame:
     """The documents without any benchmark window, all columns."""
-    leaked = hits(spark, docs, benchmark, window, id_col).select("k1", "k2")
-    return docs.withColumns({"k1": _key(id_col)[0], "k2": _key(id_col)[1]}).join(leaked, ["k1", "k2"], "left_anti").drop("k1", "k2")
+    leaked = hits(spark, docs, benchmark, window, id_col).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+    a, b = _key(id_col)
+    return docs.withColumns({"__k1": a, "__k2": b}).join(leaked, ["__k1", "__k2"], "left_anti").drop("__k1", "__k2")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

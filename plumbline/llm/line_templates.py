@@ -92,14 +92,13 @@ def dropped_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", min_docs: int = MIN_DOCS, keep_first: bool = True) -> DataFrame:
-    """docs with recurring lines gone from text, and n_lines, n_dropped added."""
-    gone = dropped_lines(spark, docs, id_col, min_docs, keep_first).withColumnRenamed(id_col, "_id")
-    both = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
-    lines = lines_of(F.col("text"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("gone"))
-    kept = F.array_join(F.transform(left, lambda i: F.col("_lines")[i]), "\n")
-    out = both.withColumn("_lines", lines).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
-    return out.withColumns({"n_lines": F.size("_lines").cast("long"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}).drop("_lines", "gone")
+    """docs with recurring lines gone from text, and n_lines, n_dropped added (or replaced)."""
+    gone = dropped_lines(spark, docs.select(id_col, "text"), id_col, min_docs, keep_first).select(F.col(id_col).alias("__id"), F.col("gone").alias("__gone"))
+    both = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    kept = F.array_join(F.transform(left, lambda i: F.col("__lines")[i]), "\n")
+    out = both.withColumn("__lines", lines_of(F.col("text"))).withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
+    return out.withColumns({"n_lines": F.size("__lines").cast("long"), "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}).drop("__lines", "__gone")
 
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from .shingle_forest import word_and_stem_hashes, word_hashes
 SAMPLE, BITS = 20_000, 18
 #: Bytes of a word's stem.
 STEM = 4
-ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 3.0, 0.02, 6
+ALPHA, BETA, L1, L2, EPOCHS, STEPS = 1.0, 1.0, 3.0, 0.02, 6, 60_000
 THRESHOLD = 0.5
 #: The least accuracy that the labels table is given.
 TRUST = 1 - 1e-6
@@ -156,10 +156,12 @@ def posterior(v: np.ndarray, table_: np.ndarray, prior: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -35, 35)))
 
 
-def train(rows: list[tuple[np.ndarray, float]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[np.ndarray, float]], epochs: int | None = None) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer by FTRL-proximal, on (feature ids, P(good)) in the given order.
 
-    Words and stems may only count against a document, so that a long text cannot outweigh what is bad in it."""
+    Words and stems may only count against a document, so that a long text cannot outweigh what is bad in it.
+    Small samples are gone through more often, up to STEPS documents in all."""
+    epochs = epochs or max(EPOCHS, min(60, STEPS // max(1, len(rows))))
     z, n = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
     word = 1 << BITS
 
