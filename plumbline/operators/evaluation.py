@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -86,18 +86,26 @@ def monotonicity(ret: DataFrame) -> DataFrame:
 
 
 def performance(nav: DataFrame, periods: int = 252, ret: str = "net_return") -> DataFrame:
-    """One row: annual return, volatility, Sharpe ratio, maximum drawdown, n. Returns in date order; volatility and
-    Sharpe need two, growth must be positive. The series has one row a period, so one partition holds it."""
+    """One row: n, log_growth, annual_return, volatility, sharpe, max_drawdown. Returns in date order; volatility and
+    Sharpe need two; a loss of everything leaves growth and what follows from it NULL. Growth is summed as logs, so
+    that no length overflows. The series has one row a period, so one partition holds it."""
     w = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    n = nav.where(F.col(ret).isNotNull()).withColumn("_nav", F.product(1 + F.col(ret)).over(w))
-    n = n.withColumn("_dd", F.col("_nav") / F.greatest(F.lit(1.0), F.max("_nav").over(w)) - 1)
-    s = n.agg(F.count("*").alias("n"), F.max_by("_nav", "date").alias("growth"), F.stddev_samp(ret).alias("sd"), F.avg(ret).alias("m"), F.min("_dd").alias("max_drawdown"))
+    gain = F.when(F.col(ret) > -1, F.log(1 + F.col(ret)))
+    n = nav.where(F.col(ret).isNotNull()).withColumn("_g", gain).withColumn("_log", F.sum("_g").over(w))
+    n = n.withColumn("_dd", log_drawdown("_log", w))
+    s = n.agg(F.count("*").alias("n"), F.count("_g").alias("k"), F.sum("_g").alias("g"), F.stddev_samp(ret).alias("sd"), F.avg(ret).alias("m"), F.min("_dd").alias("max_drawdown"))
+    g = F.when(F.col("k") == F.col("n"), F.col("g"))
     return s.select(
-        "n", F.when(F.col("growth") > 0, F.pow(F.col("growth"), periods / F.col("n")) - 1).alias("annual_return"), (F.col("sd") * math.sqrt(periods)).alias("volatility"),
-        (F.try_divide("m", F.when(F.col("sd") > 0, F.col("sd"))) * math.sqrt(periods)).alias("sharpe"), "max_drawdown",
+        "n", g.alias("log_growth"), (F.exp(g * periods / F.col("n")) - 1).alias("annual_return"), (F.col("sd") * math.sqrt(periods)).alias("volatility"),
+        (F.try_divide("m", F.when(F.col("sd") > 0, F.col("sd"))) * math.sqrt(periods)).alias("sharpe"), F.when(F.col("k") == F.col("n"), F.col("max_drawdown")).alias("max_drawdown"),
     )
 
 
+def log_drawdown(log_nav: str, w) -> Column:
+    """NAV over its running maximum (the start included) less 1, of the log of NAV. w: the frame up to each row."""
+    return F.exp(F.col(log_nav) - F.greatest(F.lit(0.0), F.max(log_nav).over(w))) - 1
+
+
 def series(df: DataFrame, col: str, date: str = "date", most: int = 100_000) -> list[float | None]:
     """A per-date series on the driver, in order: one value a date, refused beyond `most` dates."""
     rows = df.select(date, col).orderBy(date).limit(most + 1).collect()

@@ -102,7 +102,7 @@ def incremental_equals_full(spark: SparkSession, sf: str) -> DataFrame:
     p = harness.panel_daily(spark, sf)
     full = lambda x: compute(x, ["momentum_20"]).select("date", "symbol", F.col("momentum_20").alias("value"))
     old = full(p.where("date < '1999-06-01'"))
-    return tail_recompute(old, full, p, lookback=400, horizon=10, since="1999-06-01").select("date", "symbol", round6(F.col("value")).alias("value"))
+    return tail_recompute(old, full, p, lookback=21, horizon=10, since="1999-06-01").select("date", "symbol", round6(F.col("value")).alias("value"))
 
 
 @query("live_bars", oracle(f"SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS bar_start, event_type AS symbol, {R('first(value ORDER BY ts, value)', 'open')}, {R('max(value)', 'high')}, {R('min(value)', 'low')}, {R('last(value ORDER BY ts, value)', 'close')}, count(*) AS n FROM events GROUP BY 1, 2"))

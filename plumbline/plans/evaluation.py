@@ -150,25 +150,25 @@ def _backtest(spark: SparkSession, sf: str) -> DataFrame:
     return gross.join(turn, "date").withColumn("net_return", F.col("gross_return") - F.col("turnover") * 0.001)
 
 
-@query("backtest_relational", oracle(f"SELECT date, {R('gross', 'gross_return')}, {R('turnover', 'turnover')}, {R('net', 'net_return')}, {R('exp(sum(ln(1 + net)) OVER (ORDER BY date))', 'nav')} FROM net", "panel", **BCH))
+@query("backtest_relational", oracle(f"SELECT date, {R('gross', 'gross_return')}, {R('turnover', 'turnover')}, {R('net', 'net_return')}, {R('sum(ln(1 + net)) OVER (ORDER BY date)', 'log_nav')} FROM net", "panel", **BCH))
 def backtest_relational(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    b = _backtest(spark, sf).withColumn("nav", F.exp(F.sum(F.log(1 + F.col("net_return"))).over(w)))
-    return b.select("date", *[round6(F.col(c)).alias(c) for c in ("gross_return", "turnover", "net_return", "nav")])
+    b = _backtest(spark, sf).withColumn("log_nav", F.sum(F.log(1 + F.col("net_return"))).over(w))
+    return b.select("date", *[round6(F.col(c)).alias(c) for c in ("gross_return", "turnover", "net_return", "log_nav")])
 
 
-@query("drawdown", oracle(f"SELECT date, {R('nav / greatest(1.0, max(nav) OVER (ORDER BY date)) - 1', 'drawdown')} FROM (SELECT date, exp(sum(ln(1 + net)) OVER (ORDER BY date)) AS nav FROM net)", "panel", **BCH))
+@query("drawdown", oracle(f"SELECT date, {R('g - greatest(0.0, max(g) OVER (ORDER BY date))', 'log_drawdown')} FROM (SELECT date, sum(ln(1 + net)) OVER (ORDER BY date) AS g FROM net)", "panel", **BCH))
 def drawdown(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    b = _backtest(spark, sf).withColumn("nav", F.exp(F.sum(F.log(1 + F.col("net_return"))).over(w)))
-    return b.select("date", round6(F.col("nav") / F.greatest(F.lit(1.0), F.max("nav").over(w)) - 1).alias("drawdown"))
+    b = _backtest(spark, sf).withColumn("log_nav", F.sum(F.log(1 + F.col("net_return"))).over(w))
+    return b.select("date", round6(F.log1p(ev.log_drawdown("log_nav", w))).alias("log_drawdown"))
 
 
-@query("perf_summary", oracle(f"""SELECT count(*) AS n, {R('exp(sum(ln(1 + net)) * 252.0 / count(*)) - 1', 'annual_return')}, {R('stddev_samp(net) * sqrt(252)', 'volatility')}, {R('avg(net) / stddev_samp(net) * sqrt(252)', 'sharpe')}, {R('min(dd)', 'max_drawdown')}
-  FROM (SELECT *, nav / greatest(1.0, max(nav) OVER (ORDER BY date)) - 1 AS dd FROM (SELECT date, net, exp(sum(ln(1 + net)) OVER (ORDER BY date)) AS nav FROM net))""", "panel", **BCH))
+@query("perf_summary", oracle(f"""SELECT count(*) AS n, {R('sum(ln(1 + net))', 'log_growth')}, {R('stddev_samp(net) * sqrt(252)', 'volatility')}, {R('avg(net) / stddev_samp(net) * sqrt(252)', 'sharpe')}, {R('min(dd)', 'max_drawdown')}
+  FROM (SELECT *, exp(g - greatest(0.0, max(g) OVER (ORDER BY date))) - 1 AS dd FROM (SELECT date, net, sum(ln(1 + net)) OVER (ORDER BY date) AS g FROM net))""", "panel", **BCH))
 def perf_summary(spark: SparkSession, sf: str) -> DataFrame:
     out = ev.performance(_backtest(spark, sf))
-    return out.select("n", *[round6(F.col(c)).alias(c) for c in ("annual_return", "volatility", "sharpe", "max_drawdown")])
+    return out.select("n", *[round6(F.col(c)).alias(c) for c in ("log_growth", "volatility", "sharpe", "max_drawdown")])
 
 
 @query("backtest_constrained")

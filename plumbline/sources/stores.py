@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -208,11 +208,18 @@ class FactorValueStore:
             t.write(have.join(symbols.select("symbol").distinct(), "symbol", "left_anti"))
 
 
+def trim_to_days(df: DataFrame, first: Column, days: int, date: str = "date") -> DataFrame:
+    """Rows from `first` on and, of those before, the last `days` of each symbol's own trading days."""
+    before = F.col(date) < first
+    back = F.dense_rank().over(Window.partitionBy("symbol", before).orderBy(F.desc(date)))
+    return df.withColumn("_k", F.when(before, back)).where(F.col("_k").isNull() | (F.col("_k") <= days)).drop("_k")
+
+
 def tail_recompute(old: DataFrame, full: Callable[[DataFrame], DataFrame], source: DataFrame, lookback: int, horizon: int, since: str) -> DataFrame:
-    """old with every value from `since` less `horizon` days on recomputed from source rows that reach back by
-    `lookback` more (calendar days). Equal to a full recompute if lookback covers the factor's window."""
+    """old with every value from `since` less `horizon` calendar days on recomputed, from source rows that reach back
+    by `lookback` of each symbol's own trading days. Equal to a full recompute if lookback covers the factor's."""
     first = F.date_sub(F.to_date(F.lit(since)), horizon)
-    new = full(source.where(F.col("date") >= F.date_sub(first, lookback))).where(F.col("date") >= first)
+    new = full(trim_to_days(source, first, lookback)).where(F.col("date") >= first)
     return old.where(F.col("date") < first).unionByName(new.select(*old.columns))
 
 
