@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .shared import table
 
-#: How many pieces a worker remembers; beyond that it forgets them all and goes on. Only speed depends on it.
-REMEMBERED = 400_000
+#: How many pieces a worker remembers in each of two generations; when the younger is full, it replaces the older,
+#: so that pieces in use stay. Only speed depends on it.
+REMEMBERED = 300_000
 #: Above any leaf of the tree.
 NONE = 1 << 62
 #: The pre-tokenizer's pattern, a fixed value of byte-level BPE; \s is spelled out as Unicode's white space.
@@ -61,6 +62,7 @@ class Codec:
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(PATTERN).findall
         self.known: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one piece, by a segment tree whose leaf i holds rank * n + i of the pair that begins at i.
@@ -127,10 +129,13 @@ class Codec:
         return b"".join([self.bytes[i] for i in ids]).decode(errors="replace")
 
     def _learn(self, piece: str) -> tuple[str, bytes]:
-        ids = self.merge(piece.encode())
+        if (got := self.older.get(piece)) is None:
+            ids = self.merge(piece.encode())
+            got = (",".join(map(str, ids)), b"".join([self.bytes[i] for i in ids]))
         if len(self.known) >= REMEMBERED:
+            self.older = dict(self.known)
             self.known.clear()
-        self.known[piece] = got = (",".join(map(str, ids)), b"".join([self.bytes[i] for i in ids]))
+        self.known[piece] = got
         return got
 
     def digest(self, text: str) -> tuple[int, str, str]:

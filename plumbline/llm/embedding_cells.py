@@ -9,7 +9,8 @@ never the pairs. Components come from the forests (shared.components).
 
 Defined results: null, zero, empty or non-finite vectors, and null labels, link with nothing; vectors of
 unequal length don't link; repeated rows are vectors of their own that link with each other (rows with one
-vec_id share its component); kept marks the smallest vec_id of a component.
+vec_id share its component); vectors with a null vec_id link with their copies only; kept marks the smallest
+vec_id of a component.
 """
 
 from __future__ import annotations
@@ -172,7 +173,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     key = [F.xxhash64("vec", "label").alias("k1"), F.hash("label", "vec").alias("k2")]
     good = rows.where("vec IS NOT NULL").select("vec_id", "label", "vec", *key)
     reps = run.keep(good.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vec").alias("vec")), "reps")
-    members = run.keep(assign(reps, fit_cells(reps), threshold), "members")
+    members = run.keep(assign(reps.where("rep IS NOT NULL"), fit_cells(reps), threshold), "members")
     blocks = members.groupBy("label", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     placed = members.join(blocks, ["label", "cell"]).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     pairs = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(

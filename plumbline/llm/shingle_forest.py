@@ -13,7 +13,8 @@ five words; a text of fewer has one shingle. Shingles are 64-bit hashes.
 
 Defined results: null texts and texts without words have no shingles and link with nothing; copies link with
 each other and share their class's links (n_links counts documents); repeated rows are documents of their own;
-rows with one doc_id but other texts are one node of the graph; other columns are ignored.
+rows with one doc_id but other texts are one node of the graph; texts whose ids are all null link with their
+copies only; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import LOWER, UPPER, WORD, Scratch, components, stream_groups, table
@@ -32,7 +33,8 @@ N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH, STEP = 20, 6, 2
 #: Signature estimates have a standard deviation of at most sqrt(s (1 - s) / 120) = 0.037 at s = 0.8.
 SLACK = 0.2
-BLOCK = 1_024
+#: A block holds about so many documents, and verified ones so many shingles, at most; a task holds two blocks.
+BLOCK, SHINGLES = 1_024, 2_000_000
 
 _U = np.uint64
 _rng = np.random.default_rng(20_240_131)
@@ -106,21 +108,22 @@ def _fingerprint(words: np.ndarray) -> tuple[int, int]:
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", n: int = N) -> DataFrame:
-    """(doc, f1, f2, sig) of every document; f1, f2 and sig are null where there are no words."""
+    """(doc, f1, f2, m, sig) of every document, m its number of shingles; null where there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f1, f2, sig = [], [], []
+            f1, f2, m, sig = [], [], [], []
             for x in b.column(1):
                 w = word_hashes(x.as_py() or "")
                 if not len(w):
-                    f1.append(None), f2.append(None), sig.append(None)
+                    f1.append(None), f2.append(None), m.append(None), sig.append(None)
                     continue
                 a, c = _fingerprint(w)
-                f1.append(a), f2.append(c), sig.append(signature(shingles(w, n)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], names=["doc", "f1", "f2", "sig"])
+                sh = shingles(w, n)
+                f1.append(a), f2.append(c), m.append(len(sh)), sig.append(signature(sh).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(m, pa.int64()), pa.array(sig, pa.binary())], names=["doc", "f1", "f2", "m", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), "text").mapInArrow(run, "doc bigint, f1 bigint, f2 bigint, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), "text").mapInArrow(run, "doc bigint, f1 bigint, f2 bigint, m bigint, sig binary")
 
 
 def depths(threshold: float = THRESHOLD, recall: float = RECALL) -> list[int]:
@@ -133,10 +136,9 @@ def depths(threshold: float = THRESHOLD, recall: float = RECALL) -> list[int]:
         k = max(1, k - STEP)
 
 
-def _in_blocks(rows: DataFrame, group: str, size: str, keep: list[str], block: int = BLOCK) -> DataFrame:
+def _in_blocks(rows: DataFrame, group: str, n_blocks: Column, keep: list[str]) -> DataFrame:
     """rows of each group dealt into hashed blocks, one copy for each pair of blocks that a row is in."""
-    nb = F.ceil(F.col(size) / block).cast("int")
-    at = rows.withColumn("nb", nb).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    at = rows.withColumn("nb", n_blocks.cast("int")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     lo, hi = F.least("b", "o"), F.greatest("b", "o")
     out = at.select(F.xxhash64(group, lo, hi).alias("g"), F.col(group).alias("key"), lo.alias("bi"), hi.alias("bj"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "rep", *keep)
     return out.repartition("g").sortWithinPartitions("g", "key", "bi", "bj", "rep")
@@ -204,7 +206,7 @@ def candidates(spark: SparkSession, classes: DataFrame, run: Scratch, threshold:
         at = own.select("rep", "comp", F.explode(prefixes).alias("bucket"))
         live = at.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "size")
         members = at.join(live, "bucket").select("bucket", "size", "rep").join(classes.select("rep", "sig"), "rep")
-        found = _in_blocks(members, "bucket", "size", ["sig"], block).mapInArrow(stream_groups(GROUP, _similar(threshold - SLACK)), "a bigint, b bigint")
+        found = _in_blocks(members, "bucket", F.ceil(F.col("size") / block), ["sig"]).mapInArrow(stream_groups(GROUP, _similar(threshold - SLACK)), "a bigint, b bigint")
         found = run.keep(found.distinct(), f"edges-{k}")
         edges = found if edges is None else edges.unionByName(found)
         comp = run.keep(components(spark, edges, run, f"near-{k}"), f"groups-{k}")
@@ -264,25 +266,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     run = Scratch(spark, "forest")
     signed = run.keep(sign(docs, id_col, n), "signed")
     some = signed.where("sig IS NOT NULL")
-    classes = run.keep(some.groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig")), "classes")
-    groups = candidates(spark, classes, run, threshold, recall, block)
-    sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("size")), "component").select(F.col("node").alias("rep"), "component", "size")
+    classes = run.keep(some.groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.count("*").alias("n"), F.first("m").alias("m"), F.first("sig").alias("sig")), "classes")
+    groups = candidates(spark, classes.where("rep IS NOT NULL"), run, threshold, recall, block)
+    weighed = groups.join(classes.select(F.col("rep").alias("node"), "m"), "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("m").alias("weight"))
+    sized = groups.join(weighed, "component").select(F.col("node").alias("rep"), "component", "size", "weight")
     chosen = classes.select("f1", "f2", "rep", "n").join(sized, "rep")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), "text").join(chosen, "rep").select("rep", "component", "size", "n", "f1", "f2", "text")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), "text").join(chosen, "rep").select("rep", "component", "size", "weight", "n", "f1", "f2", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got, take = [], []
-            for i, (f1, f2, x) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(6), strict=True)):
+            for i, (f1, f2, x) in enumerate(zip(b.column(5).to_pylist(), b.column(6).to_pylist(), b.column(7), strict=True)):
                 w = word_hashes(x.as_py() or "")
                 if len(w) and _fingerprint(w) == (f1, f2):
                     take.append(i)
                     got.append(shingles(w, n).tobytes())
             t = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[b.column(k).take(t) for k in range(4)], pa.array(got, pa.binary())], names=["rep", "component", "size", "n", "sh"])
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(t) for k in range(5)], pa.array(got, pa.binary())], names=["rep", "component", "size", "weight", "n", "sh"])
 
-    sets = texts.mapInArrow(cut, "rep bigint, component bigint, size bigint, n bigint, sh binary")
-    found = _in_blocks(sets, "component", "size", ["n", "sh"], block).mapInArrow(stream_groups(GROUP, _verify(threshold)), "rep bigint, links bigint, root bigint")
+    sets = texts.mapInArrow(cut, "rep bigint, component bigint, size bigint, weight bigint, n bigint, sh binary")
+    found = _in_blocks(sets, "component", F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("weight") / SHINGLES)), ["n", "sh"]).mapInArrow(stream_groups(GROUP, _verify(threshold)), "rep bigint, links bigint, root bigint")
     found = run.keep(found, "links")
     comp = components(spark, found.select(F.col("rep").alias("a"), F.col("root").alias("b")), run, "cc")
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))

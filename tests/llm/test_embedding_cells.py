@@ -59,3 +59,8 @@ def test_hot_vector(spark):
     v = [1.0, 2.0, 3.0]
     got = result(spark, [(i, v if i % 3 else [1.0, 2.0, 3.0 + i * 1e-4], 1) for i in range(90)], block=8)
     assert set(got.values()) == {(89, 0)}
+
+
+def test_null_ids(spark):
+    got = E.near_duplicates(spark, spark.createDataFrame([(None, [1.0, 2.0], 1), (None, [1.0, 2.0], 1), (2, [1.0, 2.01], 1), (3, [1.0, 2.02], 1)], "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"]) for r in got if r["vec_id"]) == [(2, 1), (3, 1)] and len(got) == 4

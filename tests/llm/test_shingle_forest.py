@@ -78,3 +78,13 @@ def test_word_hashes_see_words_only():
     a, b = S.word_hashes("Été, one-two THREE"), S.word_hashes("  été?one two three ")
     assert len(a) == 4 and np.array_equal(a[1:], b[1:]) and a[0] != b[0]  # only A-Z are lower-cased
     assert S.word_hashes("x" * 300_000).shape == (1,)
+
+
+def test_null_ids_and_heavy_groups(spark, monkeypatch):
+    text = " ".join(f"z{i}" for i in range(40))
+    rows = [(None, text), (None, text + " more"), (3, text + " here"), (4, text + " there")]
+    got = S.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_links"]) for r in got if r["doc_id"]) == [(3, 1), (4, 1)] and len(got) == 4
+    monkeypatch.setattr(S, "SHINGLES", 100)
+    many = [(i, text + f" tail{i}") for i in range(20)]
+    assert set(result(spark, many).values()) == {(19, 0)}
