@@ -92,7 +92,7 @@ def performance(nav: DataFrame, periods: int = 252, ret: str = "net_return") ->
     w = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     gain = F.when(F.col(ret) > -1, F.log(1 + F.col(ret)))
     n = nav.where(F.col(ret).isNotNull()).withColumn("_g", gain).withColumn("_log", F.sum("_g").over(w))
-    n = n.withColumn("_dd", log_drawdown("_log", w))
+    n = n.withColumn("_dd", F.exp(log_drawdown("_log", w)) - 1)
     s = n.agg(F.count("*").alias("n"), F.count("_g").alias("k"), F.sum("_g").alias("g"), F.stddev_samp(ret).alias("sd"), F.avg(ret).alias("m"), F.min("_dd").alias("max_drawdown"))
     g = F.when(F.col("k") == F.col("n"), F.col("g"))
     return s.select(
@@ -102,8 +102,8 @@ def performance(nav: DataFrame, periods: int = 252, ret: str = "net_return") ->
 
 
 def log_drawdown(log_nav: str, w) -> Column:
-    """NAV over its running maximum (the start included) less 1, of the log of NAV. w: the frame up to each row."""
-    return F.exp(F.col(log_nav) - F.greatest(F.lit(0.0), F.max(log_nav).over(w))) - 1
+    """Log of NAV over its running maximum (the start included). w: the frame up to each row."""
+    return F.col(log_nav) - F.greatest(F.lit(0.0), F.max(log_nav).over(w))
 
 
 def series(df: DataFrame, col: str, date: str = "date", most: int = 100_000) -> list[float | None]:

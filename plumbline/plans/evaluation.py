@@ -161,7 +161,7 @@ def backtest_relational(spark: SparkSession, sf: str) -> DataFrame:
 def drawdown(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     b = _backtest(spark, sf).withColumn("log_nav", F.sum(F.log(1 + F.col("net_return"))).over(w))
-    return b.select("date", round6(F.log1p(ev.log_drawdown("log_nav", w))).alias("log_drawdown"))
+    return b.select("date", round6(ev.log_drawdown("log_nav", w)).alias("log_drawdown"))
 
 
 @query("perf_summary", oracle(f"""SELECT count(*) AS n, {R('sum(ln(1 + net))', 'log_growth')}, {R('stddev_samp(net) * sqrt(252)', 'volatility')}, {R('avg(net) / stddev_samp(net) * sqrt(252)', 'sharpe')}, {R('min(dd)', 'max_drawdown')}
