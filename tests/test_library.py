@@ -407,3 +407,24 @@ def test_stream_equals_batch(spark, tmp_path, sf):
     q.stop()
     want = live_bars(t, 60)
     assert quality.content_hash(store.read().drop("seq")).collect() == quality.content_hash(want).collect()
+
+
+def test_study_helpers(spark):
+    from plumbline.operators import studies as st
+
+    assert st.json_diff({"a": [1, 2.0], "b": None}, {"a": [1, 2.5, 3], "c": 1}) == [("$.a[1]", 2.0, 2.5), ("$.a.length", 2, 3), ("$.b", None, None), ("$.c", None, 1)]
+    assert st.json_diff({"a": 1.0}, {"a": 1.0 + 1e-13}, 1e-12) == []
+    w = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5), (1, "c", 0.1)], "date int, symbol string, weight double")
+    assert [(r.symbol, r["rank"]) for r in st.holdings(w).orderBy("rank").collect()] == [("a", 1), ("b", 2), ("c", 3)]
+    plan = st.trade_plan(w.where("symbol = 'a'"), w.where("symbol = 'b'"), w, w.select("date", "symbol", F.lit(9.0).alias("amount")))
+    assert {r.symbol: r.delta for r in plan.collect()} == {"a": -0.5, "b": 0.5}
+    with pytest.raises(ValueError):
+        st.require_agreement(spark.createDataFrame([(0.5,)], "median double"))
+    assert "## verdict" in st.render({"verdict": {"decision": "Adopt"}, "caveats": []})
+
+
+def test_command_line(capsys):
+    from plumbline.__main__ import main
+
+    assert main(["queries"]) == 0
+    assert "momentum_topn" in capsys.readouterr().out

@@ -10,10 +10,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from plumbline.plans import checks, daily, evaluation, minute
+from plumbline.plans import checks, daily, evaluation, minute, studies
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-MODULES = (daily, evaluation, minute, checks)
+MODULES = (daily, evaluation, minute, checks, studies)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.ORACLE.items()}
 
