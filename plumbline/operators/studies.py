@@ -18,7 +18,7 @@ def group_backtest(df: DataFrame, group: str, fee: float, ret: str = "fwd") -> D
     """(group, date, gross, turnover, net, cum) of equal-weight groups of (date, symbol, group, ret); cum sums net."""
     w = Window.partitionBy("date", group)
     own = df.where(F.col(group).isNotNull()).withColumn("weight", 1.0 / F.count("*").over(w))
-    gross = own.groupBy(group, "date").agg(F.avg(F.coalesce(ret, F.lit(0.0))).alias("gross"))
+    gross = own.groupBy(group, "date").agg(F.avg(F.coalesce(ret, F.lit(0))).alias("gross"))
     turn = turnover(own.select(group, "date", "symbol", "weight"), own, [group])
     out = gross.join(turn, [group, "date"]).withColumn("net", F.col("gross") - fee * F.col("turnover"))
     return out.withColumn("cum", F.sum("net").over(Window.partitionBy(group).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))

@@ -34,23 +34,24 @@ def query(name: str, sql: str | None = None):
 
 QW = "SELECT bucket, date, symbol, 1.0::DOUBLE / count(*) OVER (PARTITION BY date, bucket) AS w, fwd FROM qb"
 GB = {"mom": MOM, "pairs": PAIRS, "both_": BOTH, "qb": QB, "qw": QW, "turn": TURN,
-      "g": "SELECT bucket, date, gross, turnover, gross - 0.001::DOUBLE * turnover AS net FROM (SELECT bucket, date, avg(fwd) AS gross FROM qw GROUP BY bucket, date) JOIN turn USING (bucket, date)"}
+      "g": "SELECT bucket, date, gross, turnover, gross - 1000.0::DOUBLE * turnover AS net FROM (SELECT bucket, date, avg(CAST(round(fwd * 1e6) AS BIGINT)) AS gross FROM qw GROUP BY bucket, date) JOIN turn USING (bucket, date)"}
 
 
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Returns in millionths, as integers: their means are the same in every engine and order."""
     b = xsection.buckets(pairs(spark, sf).where("factor IS NOT NULL AND fwd IS NOT NULL"), "factor", 5)
-    return st.group_backtest(b, "bucket", 0.001)
+    return st.group_backtest(b.withColumn("fwd", F.round(F.col("fwd") * 1e6).cast("bigint")), "bucket", 1000.0)
 
 
-@query("group_backtest", oracle(f"SELECT bucket, date, {R('gross', 'gross')}, {R('turnover', 'turnover')}, {R('net', 'net')} FROM g", "panel", **GB))
+@query("group_backtest", oracle(f"SELECT bucket, date, floor(gross + 0.5) / 1e6 AS gross, {R('turnover', 'turnover')} FROM g", "panel", **GB))
 def group_backtest(spark: SparkSession, sf: str) -> DataFrame:
-    return _groups(spark, sf).select("bucket", "date", *[round6(F.col(c)).alias(c) for c in ("gross", "turnover", "net")])
+    return _groups(spark, sf).select("bucket", "date", (F.floor(F.col("gross") + 0.5) / 1e6).alias("gross"), round6(F.col("turnover")).alias("turnover"))
 
 
-@query("group_spread", oracle(f"SELECT count(*) AS n, {R('avg(s)', 'mean')}, {R('sum(s)', 'total')} FROM (SELECT date, max(net) FILTER (bucket = 5) - max(net) FILTER (bucket = 1) AS s FROM g GROUP BY date) WHERE s IS NOT NULL", "panel", **GB))
+@query("group_spread", oracle(f"SELECT count(*) AS n, {R('avg(s) / 1e6', 'mean')}, {R('sum(s) / 1e6', 'total')} FROM (SELECT date, max(net) FILTER (bucket = 5) - max(net) FILTER (bucket = 1) AS s FROM g GROUP BY date) WHERE s IS NOT NULL", "panel", **GB))
 def group_spread(spark: SparkSession, sf: str) -> DataFrame:
     s = st.spread(_groups(spark, sf), "bucket", 5, 1)
-    return s.agg(F.count("*").alias("n"), round6(F.avg("spread")).alias("mean"), round6(F.max_by("cum", "date")).alias("total"))
+    return s.agg(F.count("*").alias("n"), round6(F.avg("spread") / 1e6).alias("mean"), round6(F.max_by("cum", "date") / 1e6).alias("total"))
 
 
 @query("factor_disclosure", oracle(f"""SELECT count(*) AS rows, count(*) FILTER (ok) AS valid, {R('count(*) FILTER (ok) / count(*)', 'rate')}, count(*) FILTER (NOT coalesce(k_valley >= 6, false)) AS failed_valley, count(*) FILTER (NOT coalesce(n_class >= 10, false)) AS failed_classifiable,
