@@ -54,7 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage has read or kept for itself is deleted once its result is written."""
+    kept, docs, last = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        mark = len(Scratch.opened)
         docs = kept.keep(stage(spark, docs, sf_dir), name)
+        for own in Scratch.opened[mark:]:
+            own.clear()
+        if last:
+            kept.drop(last)
+        last = name
     return docs

@@ -43,10 +43,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder, which cut lineage and outlive a lost executor."""
+    """Tables written to the shared folder, which cut lineage and outlive a lost executor.
+
+    A lazy result may still read them, so they stay until whoever has written that result calls clear(), on each
+    of Scratch.opened that was added meanwhile (as corpus_pipeline.run does)."""
+
+    opened: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch.opened.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -54,7 +60,14 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        self._delete(f"{self.root}/{name}")
+
+    def clear(self) -> None:
+        self._delete(self.root)
+        Scratch.opened.remove(self)
+
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
