@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the shared
 folder and reads it again as the next stage's docs. Documents that a stage removes are gone for the next one, and
-line dedup changes texts. n_chars follows the text. Null and empty texts pass every stage; an empty table gives
+line dedup changes texts. n_chars follows the text. Texts that are null or empty from the start pass every stage; an empty table gives
 an empty result. Columns beyond those of documents are dropped by the first stage.
 """
 
@@ -25,8 +25,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates are gone from all but their first document."""
+    """Lines of recurring templates are gone from all but their first document; so is a document of which nothing
+    but white space is left, as all of it stands in earlier ones."""
     out = line_templates.dedup_lines(spark, docs)
+    out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
     changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", changed).select(*COLUMNS)
 

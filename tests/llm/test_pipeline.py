@@ -21,7 +21,7 @@ def test_equals_the_stages_by_other_means(spark, sf):
     assert 0 < len(rows) < docs.count()
     con = duckdb.connect()
     con.register("kept", pd.DataFrame(rows, columns=["doc_id", "text"]))
-    con.execute(f"CREATE TABLE lines AS WITH {line_templates.rows_sql('kept')} SELECT doc_id, text FROM deduped")
+    con.execute(f"CREATE TABLE lines AS WITH {line_templates.rows_sql('kept')} SELECT doc_id, text FROM deduped WHERE n_dropped = 0 OR regexp_matches(text, '\\S')")
     con.execute(f"CREATE TABLE one AS WITH RECURSIVE {shingle_forest.rows_sql('lines')} SELECT * FROM lines WHERE doc_id IN (SELECT doc_id FROM near WHERE doc_id = class_id)")
     con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{sf}/benchmark.parquet'")
     con.execute("ALTER TABLE one RENAME TO documents")
