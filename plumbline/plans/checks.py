@@ -45,7 +45,7 @@ DIRTY = """SELECT date, symbol, open, high, CASE WHEN k % 17 = 0 THEN high + 1 E
 ONCE = "SELECT * FROM dirty"
 
 
-@query("quality_findings", oracle("""SELECT "check", severity, n FROM (SELECT 'duplicate_key' AS "check", 'hard' AS severity, sum(c) AS n FROM (SELECT count(*) AS c FROM dirty GROUP BY date, symbol HAVING count(*) > 1)
+@query("quality_findings", oracle("""SELECT "check", severity, CAST(n AS BIGINT) AS n FROM (SELECT 'duplicate_key' AS "check", 'hard' AS severity, sum(c) AS n FROM (SELECT count(*) AS c FROM dirty GROUP BY date, symbol HAVING count(*) > 1)
   UNION ALL SELECT 'nonpositive_ohlc', 'hard', count(*) FILTER (NOT coalesce(open > 0 AND high > 0 AND low > 0 AND close > 0, false)) FROM dirty UNION ALL SELECT 'high_below_low', 'hard', count(*) FILTER (high < low) FROM dirty
   UNION ALL SELECT 'close_outside_range', 'hard', count(*) FILTER (close < low OR close > high) FROM dirty UNION ALL SELECT 'negative_volume', 'hard', count(*) FILTER (volume < 0 OR amount < 0) FROM dirty
   UNION ALL SELECT 'bad_adj_factor', 'hard', count(*) FILTER (NOT coalesce(adj_factor > 0, false)) FROM dirty UNION ALL SELECT 'adj_factor_fell', 'warning', count(*) FILTER (adj_factor < pa * 0.99::DOUBLE) FROM lagged

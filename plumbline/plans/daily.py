@@ -42,7 +42,7 @@ MOM = "SELECT *, CASE WHEN lag(close, 20) OVER s <> 0 THEN close / lag(close, 20
 Z = "SELECT *, CASE WHEN sd > 0 THEN (mom - m) / sd ELSE mom - m END AS z FROM (SELECT *, avg(mom) OVER (PARTITION BY date) AS m, stddev_pop(mom) OVER (PARTITION BY date) AS sd FROM mom WHERE mom IS NOT NULL)"
 
 
-@query("momentum_topn", oracle(f"SELECT date, symbol, rank, 1.0::DOUBLE / count(*) OVER (PARTITION BY date) AS weight, {R('z', 'score')} FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY floor(z * 1e6 + 0.5) / 1e6 DESC, symbol) AS rank FROM z) WHERE rank <= 5", "panel", mom=MOM, z=Z))
+@query("momentum_topn", oracle(f"SELECT date, symbol, CAST(rank AS INTEGER) AS rank, 1.0::DOUBLE / count(*) OVER (PARTITION BY date) AS weight, {R('z', 'score')} FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY floor(z * 1e6 + 0.5) / 1e6 DESC, symbol) AS rank FROM z) WHERE rank <= 5", "panel", mom=MOM, z=Z))
 def momentum_topn(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: 20-day momentum, standardised by date, the five best of each day at equal weight."""
     panel = compute(harness.panel_daily(spark, sf), ["momentum_20"])

@@ -64,7 +64,7 @@ def ic_summary(spark: SparkSession, sf: str) -> DataFrame:
     return s.select(*[round6(F.col(c)).alias(c) for c in ("mean", "std", "ir")], "n")
 
 
-QB = "SELECT *, ntile(5) OVER (PARTITION BY date ORDER BY factor, symbol) AS bucket FROM both_"
+QB = "SELECT *, CAST(ntile(5) OVER (PARTITION BY date ORDER BY factor, symbol) AS INTEGER) AS bucket FROM both_"
 QRET = "SELECT date, bucket, avg(fwd) AS ret, count(*) AS n FROM qb GROUP BY date, bucket"
 
 
