@@ -6,7 +6,7 @@ of good documents. Posteriors then train a hashed linear scorer (follow-the-regu
 telling features keep a weight) on a bounded sample of labelled documents, and the scorer judges every document.
 
 Bounds: vote patterns are at most 3^labellers; SAMPLE documents at most are fitted on, as hashed features.
-Votes are counted over all documents, and every whole text is scored.
+Votes are counted over all documents, and every measure and score is of the whole text.
 
 Defined results: null and empty texts get a score from the bias alone and are kept as the scorer says;
 repeated rows get the same score; a document that any row of labels calls bad is bad; without usable labels
@@ -33,6 +33,8 @@ SAMPLE, BITS = 20_000, 18
 STEM = 4
 ALPHA, BETA, L1, L2, EPOCHS, STEPS = 1.0, 1.0, 3.0, 0.02, 6, 60_000
 THRESHOLD = 0.5
+#: Shares of distinct words and pairs fall as a text gets longer, so they are means over blocks of so many.
+VARIETY_BLOCK, PAIR_BLOCK, RUN = 1_000, 2_000, 8
 #: The least accuracy that the labels table is given.
 TRUST = 1 - 1e-6
 LABELLERS = ("labels", "case", "symbols", "word_length", "variety", "repeats")
@@ -44,17 +46,34 @@ _ODD = np.zeros(256, dtype=bool)
 _ODD[[ord(c) for c in "!#$%&*<>=@\\^_`{|}~+"]] = True
 
 
+def distinct_share(x: np.ndarray, block: int) -> float:
+    """The share of distinct values in each run of `block` of them, averaged over the whole of x (by length)."""
+    if len(x) > block:
+        x = x ^ ((np.arange(len(x), dtype=np.uint64) // np.uint64(block)) * np.uint64(0x9E3779B97F4A7C15))
+    return len(np.unique(x)) / max(1, len(x))
+
+
+def pair_share(words: np.ndarray) -> float:
+    """The share of distinct word pairs within blocks; in a text of several blocks, that of distinct RUN-word runs
+    over the whole text if it is less, which tells what comes again at any distance."""
+    share = distinct_share(words[1:] ^ (words[:-1] * np.uint64(3)), PAIR_BLOCK)
+    if len(words) <= PAIR_BLOCK:
+        return share
+    runs = np.zeros(len(words) - RUN + 1, dtype=np.uint64)
+    for i in range(RUN):
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - RUN + 1 + i]
+    return min(share, distinct_share(runs, len(runs)))
+
+
 def measures(text: str, words: np.ndarray) -> dict[str, float]:
     """What the labellers look at; words: the hashes of the words."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     kind = np.bincount(_KIND[data], minlength=6) if len(data) else np.zeros(6, dtype=int)
     n, letters = max(1, len(data)), max(1, kind[1] + kind[2])
-    some = words[:2000]
-    pairs = some[1:] ^ (some[:-1] * np.uint64(3))
     return {
         "upper": kind[1] / letters, "odd": float(_ODD[data].sum()) / n, "space": kind[4] / n, "digit": kind[3] / n,
         "length": (n - kind[4]) / max(1, len(words)), "words": float(len(words)),
-        "variety": len(np.unique(words)) / max(1, len(words)), "pairs": len(np.unique(pairs)) / max(1, len(pairs)),
+        "variety": distinct_share(words, VARIETY_BLOCK), "pairs": pair_share(words),
     }
 
 
@@ -65,7 +84,7 @@ def votes(m: dict[str, float]) -> list[int]:
         0 if short else -1 if m["upper"] > 0.5 else 1 if m["upper"] < 0.15 else 0,
         -1 if m["odd"] > 0.04 else 1 if m["odd"] < 0.01 else 0,
         0 if short else -1 if not 2.5 <= m["length"] <= 14 else 1 if 3.5 <= m["length"] <= 11 else 0,
-        0 if short else -1 if m["variety"] < 0.15 and m["words"] < 1000 else 1 if m["variety"] > 0.35 else 0,
+        0 if short else -1 if m["variety"] < 0.15 else 1 if m["variety"] > 0.35 else 0,
         0 if short else -1 if m["pairs"] < 0.5 else 1 if m["pairs"] > 0.8 else 0,
     ]
 

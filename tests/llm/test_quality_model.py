@@ -47,3 +47,26 @@ def test_nulls_empty_repeats_and_clashes(spark):
 def test_any_bad_row_makes_a_bad_label(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 1, 0), (3, 0, None), (4, None, None)], "doc_id long, quality int, toxic int")
     assert {r["doc_id"]: r["gold"] for r in Q.label_votes(labels).collect()} == {1: -1, 2: 1, 3: -1}
+
+
+def _prose(n, seed=1):
+    """n words, most of them common ones."""
+    return [f"w{x}" for x in np.random.default_rng(seed).zipf(1.3, n) % 5000]
+
+
+def _votes(words):
+    return dict(zip(Q.LABELLERS[1:], Q.votes(Q.measures(" ".join(words), Q.word_hashes(" ".join(words)))), strict=True))
+
+
+def test_repetition_is_measured_over_the_whole_text():
+    clean, loop = [f"word{chr(97 + i % 26)}{i}" for i in range(2000)], ["round", "and", "round", "it", "goes"] * 1200
+    assert _votes(clean + loop)["repeats"] == -1, "a loop behind a clean start"
+    assert _votes(loop[:2000] + [f"fine{i}" for i in range(40_000)])["repeats"] == 1, "a looping start of a clean text"
+    assert _votes([f"x{i}" for i in range(3000)] * 5)["repeats"] == -1, "what comes again after more than a block"
+
+
+def test_variety_votes_bad_at_any_length_and_not_for_length():
+    assert [_votes(["all", "the", "same"] * n)["variety"] for n in (300, 334, 1000, 20_000)] == [-1] * 4
+    short, long_ = (Q.measures(" ".join(w), Q.word_hashes(" ".join(w))) for w in (_prose(1000), _prose(60_000)))
+    assert abs(short["variety"] - long_["variety"]) < 0.05 and abs(short["pairs"] - long_["pairs"]) < 0.15
+    assert _votes(_prose(60_000))["variety"] == _votes(_prose(1000))["variety"] != -1
