@@ -267,10 +267,12 @@ def decide(v: VerdictInputs) -> Verdict:
     return Verdict(*axes, decision, tuple(why))
 
 
-def evaluate(df: DataFrame, f: str, sign: int, q: int = 5, fee: float = 0.001, split: str | None = None, book: list[str] | None = None) -> dict:
-    """The whole report of one factor over (date, symbol, f, fwd): sections, verdict inputs and verdict.
+def evaluate(df: DataFrame, f: str, sign: int, q: int = 5, fee: float = 0.001, split: str | None = None, book: list[str] | None = None, capacity: dict | None = None) -> dict:
+    """The report of one factor over (date, symbol, f, fwd): sections, verdict inputs and verdict.
 
-    Each section is a small table by date or less; the pair table is the only large one."""
+    Each section is a small table by date or less; the pair table is the only large one. Returns are realised at
+    df's realized_date (the latest of a date) or else on the next date; one that is realised at the split or later
+    belongs to the test half, and a last one before the split of unknown end to neither. capacity is passed on."""
     from .xsection import orthogonalize
 
     ic = information_coefficient(df, f).persist()
@@ -284,7 +286,12 @@ def evaluate(df: DataFrame, f: str, sign: int, q: int = 5, fee: float = 0.001, s
     span = ic.agg(F.datediff(F.max("date"), F.min("date"))).first()[0] or 0
     oos = None
     if split:
-        halves = {r["part"]: r["m"] for r in ic.withColumn("part", F.when(F.col("date") < split, "train").otherwise("test")).groupBy("part").agg(F.avg("ic").alias("m")).collect()}
+        if "realized_date" in df.columns:
+            dated = ic.join(df.groupBy("date").agg(F.max("realized_date").alias("realized_date")), "date")
+        else:
+            later = F.lead("date").over(Window.partitionBy(F.lit(0)).orderBy("date"))
+            dated = ic.withColumn("realized_date", F.coalesce(later, F.when(F.col("date") >= F.to_date(F.lit(split)), F.col("date"))))
+        halves = {r["part"]: r["m"] for r in split_oos(dated, split).groupBy("part").agg(F.avg("ic").alias("m")).collect()}
         oos = {p: halves.get(p) for p in ("train", "test")}
     pure = None
     if book:
@@ -298,7 +305,7 @@ def evaluate(df: DataFrame, f: str, sign: int, q: int = 5, fee: float = 0.001, s
         "stability_cost": {"rank_autocorrelation": rho, "half_life": half_life(rho)},
         "purity": {"book": book or [], "incremental_ir": inputs.incremental_icir},
         "oos_generalization": oos,
-        "execution_capacity": None,
+        "execution_capacity": capacity,
         "data_coverage": {**cover, "n_eff": n_eff, "span_days": int(span)},
         "caveats": [] if split else ["no out-of-sample split was asked for"],
         "inputs": asdict(inputs),
