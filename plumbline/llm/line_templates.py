@@ -12,8 +12,10 @@ tell and stay. Templates are 96-bit hashes. Counting is partial before the shuff
 all documents share costs one row a task.
 
 Defined results: null text is empty and comes back as null if nothing is dropped from it; blank lines stay;
-a line that repeats within one document only is kept; rows that share a doc_id are one document on dropping
-(each counts towards recurrence); an empty table gives an empty result; other columns are carried along.
+a line that repeats within one document only is kept; rows that share a doc_id, whatever their texts, each count
+towards recurrence, and what recurs stays in all rows of the first id, as it does in rows without an id where no
+row with one has it; what a row loses depends on its own lines only; very long texts are parsed whole, line by
+line; an empty table gives an empty result; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -65,13 +67,19 @@ def template_paths(lines: Column) -> Column:
     return F.flatten(F.transform(parsed, lambda s: F.transform(s["many"], lambda c: keys(s, c))))
 
 
+def _key(id_col: str) -> list[Column]:
+    """96 bits that stand for a row's id and text, so that rows with one id but other texts stay apart."""
+    return [F.xxhash64(id_col, "text").alias("d1"), F.hash("text", id_col).alias("d2")]
+
+
 def parse(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, paths array of (k1, k2, line)) sorted by key; line is -1 - line for repeats within a document."""
-    rows = docs.select(id_col, F.array_sort(template_paths(masked_lines(F.col("text")))).alias("paths"))
-    pairs = rows.select(id_col, F.arrays_zip(F.col("paths").alias("x"), F.concat(F.array(F.lit(None).cast("struct<k1:bigint,k2:int,line:int>")), "paths").alias("before")).alias("pairs"))
+    """(id_col, d1, d2, paths array of (k1, k2, line)) sorted by key; line is -1 - line for repeats within a document."""
+    own = [id_col, "d1", "d2"]
+    rows = docs.select(id_col, *_key(id_col), F.array_sort(template_paths(masked_lines(F.col("text")))).alias("paths"))
+    pairs = rows.select(*own, F.arrays_zip(F.col("paths").alias("x"), F.concat(F.array(F.lit(None).cast("struct<k1:bigint,k2:int,line:int>")), "paths").alias("before")).alias("pairs"))
     again = lambda p: F.coalesce((p["before"]["k1"] == p["x"]["k1"]) & (p["before"]["k2"] == p["x"]["k2"]), F.lit(False))
     flag = lambda p: F.struct(p["x"]["k1"].alias("k1"), p["x"]["k2"].alias("k2"), F.when(again(p), -1 - p["x"]["line"]).otherwise(p["x"]["line"]).alias("line"))
-    return pairs.select(id_col, F.transform(F.filter("pairs", lambda p: p["x"].isNotNull()), flag).alias("paths"))
+    return pairs.select(*own, F.transform(F.filter("pairs", lambda p: p["x"].isNotNull()), flag).alias("paths"))
 
 
 def recurring(parsed: DataFrame, id_col: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -82,19 +90,21 @@ def recurring(parsed: DataFrame, id_col: str = "doc_id", min_docs: int = MIN_DOC
 
 
 def dropped_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", min_docs: int = MIN_DOCS, keep_first: bool = True) -> DataFrame:
-    """(id_col, gone array of line numbers) for the documents that lose lines."""
+    """(d1, d2, gone array of line numbers) for the documents that lose lines."""
     parsed = Scratch(spark, "templates").keep(parse(docs, id_col), "parsed")
-    each = parsed.select(id_col, F.inline("paths")).join(recurring(parsed, id_col, min_docs), ["k1", "k2"])
+    each = parsed.select(id_col, "d1", "d2", F.inline("paths")).join(recurring(parsed, id_col, min_docs), ["k1", "k2"])
     if keep_first:
         each = each.where(~F.col(id_col).eqNullSafe(F.col("first")))
     line = F.when(F.col("line") < 0, -1 - F.col("line")).otherwise(F.col("line"))
-    return each.groupBy(id_col).agg(F.collect_set(line).alias("gone"))
+    return each.groupBy("d1", "d2").agg(F.collect_set(line).alias("gone"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", min_docs: int = MIN_DOCS, keep_first: bool = True) -> DataFrame:
     """docs with recurring lines gone from text, and n_lines, n_dropped added (or replaced)."""
-    gone = dropped_lines(spark, docs.select(id_col, "text"), id_col, min_docs, keep_first).select(F.col(id_col).alias("__id"), F.col("gone").alias("__gone"))
-    both = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+    gone = dropped_lines(spark, docs.select(id_col, "text"), id_col, min_docs, keep_first).select(*[F.col(c).alias(f"__{c}") for c in ("d1", "d2", "gone")])
+    d1, d2 = _key(id_col)
+    keyed = docs.withColumns({"__a": d1, "__b": d2})
+    both = keyed.join(gone, (F.col("__a") == F.col("__d1")) & (F.col("__b") == F.col("__d2")), "left").drop("__a", "__b", "__d1", "__d2")
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     kept = F.array_join(F.transform(left, lambda i: F.col("__lines")[i]), "\n")
     out = both.withColumn("__lines", lines_of(F.col("text"))).withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))

@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words after A-Z are lower-cased: digits, a-z and every character beyond ASCII.
@@ -17,6 +20,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table may be broadcast up to so many rows of at most a few hundred bytes; callers count first.
 BROADCAST_ROWS = 200_000
+#: And where rows have no bound of their own, up to so many bytes in all.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,25 +39,43 @@ def once(x, f):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; own one only where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or what setCheckpointDir() was given.
+    Where neither is set, a local session gets a folder of its own; on a cluster that would be lost data, and raises."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="plumbline-"))
+        at = sc.getCheckpointDir()
     return at.rstrip("/")
 
 
+_owner: ContextVar[list[Scratch] | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned() -> Iterator[None]:
+    """The tables of every Scratch that this thread opens inside are deleted at the end; write the result before."""
+    mine: list[Scratch] = []
+    before = _owner.set(mine)
+    try:
+        yield
+    finally:
+        _owner.reset(before)
+        for s in mine:
+            s.clear()
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and outlive a lost executor.
 
-    A lazy result may still read them, so they stay until whoever has written that result calls clear(), on each
-    of Scratch.opened that was added meanwhile (as corpus_pipeline.run does)."""
-
-    opened: list[Scratch] = []
+    A lazy result may still read them, so they stay until clear(), or the end of the owned() block around."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        Scratch.opened.append(self)
+        if (mine := _owner.get()) is not None:
+            mine.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -64,16 +87,41 @@ class Scratch:
 
     def clear(self) -> None:
         self._delete(self.root)
-        Scratch.opened.remove(self)
 
     def _delete(self, at: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most that many rows, else as it is, to be joined by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it has at most that many rows, else as it is, to be joined by shuffle. size: the
+    bytes of a row, if rows may be of any size; then all of them may have `most` together."""
+    if size is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= most else df
+
+
+def block_count(size: Column, block: int) -> Column:
+    """Blocks that a group of so many rows is dealt into: of `block` rows, or down to a quarter of that where the group
+    would else make few tasks. One block if the group fits into the smaller ones."""
+    return F.ceil(size / F.greatest(F.lit(max(1, block // 4)), F.least(F.lit(block), F.ceil(size / 16)))).cast("int")
+
+
+def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For places 0..n-1 linked by (i, j), the least place of each one's component; by halving of paths."""
+    top = np.arange(n)
+    while len(i):
+        low = np.minimum(top[i], top[j])
+        new = top.copy()
+        np.minimum.at(new, top[i], low)
+        np.minimum.at(new, top[j], low)
+        while (flat := new[new]).tobytes() != new.tobytes():
+            new = flat
+        if np.array_equal(new, top):
+            break
+        top = new
+    return top
 
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -119,8 +167,6 @@ def stream_groups(keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | p
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
             out = work(t)
             if out is not None and out.num_rows:

@@ -12,9 +12,10 @@ Words are lower-cased in A-Z; digits, letters and characters beyond ASCII are wo
 five words; a text of fewer has one shingle. Shingles are 64-bit hashes.
 
 Defined results: null texts and texts without words have no shingles and link with nothing; copies link with
-each other and share their class's links (n_links counts documents); repeated rows are documents of their own;
-rows with one doc_id but other texts are one node of the graph; texts whose ids are all null link with their
-copies only; other columns are ignored.
+each other and share their class's links (n_links counts documents); repeated rows are documents of their own, and
+so are rows with one doc_id but other texts (class_id is the least id of a group, so such rows may name one class_id
+and be of one class or two); texts whose ids are all null link with their copies only; very long texts are read
+whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, WORD, Scratch, components, stream_groups, table
+from .shared import LOWER, UPPER, WORD, Scratch, block_count, components, least_labels, stream_groups, table
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH, STEP = 20, 6, 2
@@ -108,12 +109,13 @@ def _fingerprint(words: np.ndarray) -> tuple[int, int]:
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", n: int = N) -> DataFrame:
-    """(doc, f1, f2, m, sig) of every document, m its number of shingles; null where there are no words."""
+    """(doc, d1, d2, f1, f2, m, sig) of every document: d1, d2 stand for its id and text, f1, f2 for its words, m is
+    its number of shingles; null where there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f1, f2, m, sig = [], [], [], []
-            for x in b.column(1):
+            for x in b.column(3):
                 w = word_hashes(x.as_py() or "")
                 if not len(w):
                     f1.append(None), f2.append(None), m.append(None), sig.append(None)
@@ -121,9 +123,14 @@ def sign(docs: DataFrame, id_col: str = "doc_id", n: int = N) -> DataFrame:
                 a, c = _fingerprint(w)
                 sh = shingles(w, n)
                 f1.append(a), f2.append(c), m.append(len(sh)), sig.append(signature(sh).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(m, pa.int64()), pa.array(sig, pa.binary())], names=["doc", "f1", "f2", "m", "sig"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(m, pa.int64()), pa.array(sig, pa.binary())], names=["doc", "d1", "d2", "f1", "f2", "m", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), "text").mapInArrow(run, "doc bigint, f1 bigint, f2 bigint, m bigint, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), *row_key(id_col), "text").mapInArrow(run, "doc bigint, d1 bigint, d2 int, f1 bigint, f2 bigint, m bigint, sig binary")
+
+
+def row_key(id_col: str) -> list[Column]:
+    """96 bits that stand for a row's id and text."""
+    return [F.xxhash64(id_col, "text").alias("d1"), F.hash("text", id_col).alias("d2")]
 
 
 def depths(threshold: float = THRESHOLD, recall: float = RECALL) -> list[int]:
@@ -138,75 +145,50 @@ def depths(threshold: float = THRESHOLD, recall: float = RECALL) -> list[int]:
 
 def _in_blocks(rows: DataFrame, group: str, n_blocks: Column, keep: list[str]) -> DataFrame:
     """rows of each group dealt into hashed blocks, one copy for each pair of blocks that a row is in."""
-    at = rows.withColumn("nb", n_blocks.cast("int")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    at = rows.withColumn("nb", n_blocks.cast("int")).withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     lo, hi = F.least("b", "o"), F.greatest("b", "o")
-    out = at.select(F.xxhash64(group, lo, hi).alias("g"), F.col(group).alias("key"), lo.alias("bi"), hi.alias("bj"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "rep", *keep)
-    return out.repartition("g").sortWithinPartitions("g", "key", "bi", "bj", "rep")
+    out = at.select(F.xxhash64(group, lo, hi).alias("g"), F.col(group).alias("key"), lo.alias("bi"), hi.alias("bj"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "node", *keep)
+    return out.repartition("g").sortWithinPartitions("g", "key", "bi", "bj", "node")
 
 
 GROUP = ["g", "key", "bi", "bj"]
 
 
-def _forest(rep: np.ndarray, i: np.ndarray, j: np.ndarray, root: list[int]) -> None:
-    """Joins i[k] and j[k] in root (a union-find by places), smaller rep on top."""
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        a, b = find(a), find(b)
-        if a != b:
-            if rep[a] < rep[b]:
-                root[b] = a
-            else:
-                root[a] = b
-
-
-def _edges(rep: np.ndarray, root: list[int]) -> np.ndarray:
-    top = np.asarray(root)
-    while (top[top] != top).any():
-        top = top[top]
-    return top
-
-
 def _similar(least: float):
     def work(t: pa.Table) -> pa.RecordBatch | None:
-        """Edges of one pair of blocks: each member to the root of those it resembles by signature."""
-        rep, side = t.column("rep").to_numpy(), t.column("side").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint32).reshape(len(rep), -1)
+        """Edges of one pair of blocks: each member to the first of those that it is connected with by signature."""
+        node, side = t.column("node").to_numpy(), t.column("side").to_numpy()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint32).reshape(len(node), -1)
         same = t.column("bi")[0].as_py() == t.column("bj")[0].as_py()
         left = np.flatnonzero(side == 0)
         right = left if same else np.flatnonzero(side == 1)
-        need, root = least * sig.shape[1], list(range(len(rep)))
+        need = least * sig.shape[1]
         if not len(left) or not len(right):
             return None
-        step = max(1, 4_000_000 // (len(right) * sig.shape[1]))
+        step, found = max(1, 4_000_000 // (len(right) * sig.shape[1])), []
         for s in range(0, len(left), step):
             a = left[s : s + step]
             p, q = np.nonzero((sig[a][:, None, :] == sig[right][None, :, :]).sum(axis=2) >= need)
             i, j = a[p], right[q]
             ok = i < j if same else i != j
-            _forest(rep, i[ok], j[ok], root)
-        top = _edges(rep, root)
-        hit = np.flatnonzero(top != np.arange(len(rep)))
-        return pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(rep[top[hit]])], names=["a", "b"]) if len(hit) else None
+            found.append((i[ok], j[ok]))
+        top = least_labels(len(node), *(np.concatenate(x) for x in zip(*found, strict=True)))
+        hit = np.flatnonzero(top != np.arange(len(node)))
+        return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(node[top[hit]])], names=["a", "b"]) if len(hit) else None
 
     return work
 
 
 def candidates(spark: SparkSession, classes: DataFrame, run: Scratch, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame | None:
-    """(node, component): groups of classes (rep, sig) that may hold links; classes that are alone are absent."""
+    """(node, component): groups of classes (node, sig) that may hold links; classes that are alone are absent."""
     comp, edges = None, None
     for k in depths(threshold, recall):
-        own = classes.select("rep", F.col("rep").alias("comp"), "sig") if comp is None else classes.join(comp, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("comp"), "sig")
+        own = classes.select("node", F.col("node").alias("comp"), "sig") if comp is None else classes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "sig")
         prefixes = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * DEPTH * t, 4 * k)) for t in range(TREES)])
-        at = own.select("rep", "comp", F.explode(prefixes).alias("bucket"))
+        at = own.select("node", "comp", F.explode(prefixes).alias("bucket"))
         live = at.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "size")
-        members = at.join(live, "bucket").select("bucket", "size", "rep").join(classes.select("rep", "sig"), "rep")
-        found = _in_blocks(members, "bucket", F.ceil(F.col("size") / block), ["sig"]).mapInArrow(stream_groups(GROUP, _similar(threshold - SLACK)), "a bigint, b bigint")
+        members = at.join(live, "bucket").select("bucket", "size", "node").join(classes.select("node", "sig"), "node")
+        found = _in_blocks(members, "bucket", block_count(F.col("size"), block), ["sig"]).mapInArrow(stream_groups(GROUP, _similar(threshold - SLACK)), "a bigint, b bigint")
         found = run.keep(found.distinct(), f"edges-{k}")
         edges = found if edges is None else edges.unionByName(found)
         comp = run.keep(components(spark, edges, run, f"near-{k}"), f"groups-{k}")
@@ -215,14 +197,14 @@ def candidates(spark: SparkSession, classes: DataFrame, run: Scratch, threshold:
 
 def _verify(threshold: float):
     def work(t: pa.Table) -> pa.RecordBatch | None:
-        """Exact links of one pair of blocks: (rep, links weighted by copies, local root)."""
-        rep, first = np.unique(t.column("rep").to_numpy(), return_index=True)
+        """Exact links of one pair of blocks: (node, links weighted by copies, local root)."""
+        node, first = np.unique(t.column("node").to_numpy(), return_index=True)
         side, n = t.column("side").to_numpy()[first], t.column("n").to_numpy()[first]
         raw = t.column("sh")
         sets = [np.frombuffer(raw[i].as_py(), dtype=np.uint64) for i in first.tolist()]
         size = np.array([len(s) for s in sets], dtype=np.int64)
         same = t.column("bi")[0].as_py() == t.column("bj")[0].as_py()
-        m = len(rep)
+        m = len(node)
         both = np.zeros((m, m), dtype=np.float32) if m > 2 else None
         if m == 2:
             both = np.array([[0, len(np.intersect1d(sets[0], sets[1], assume_unique=True))]] * 2, dtype=np.float32)
@@ -250,28 +232,29 @@ def _verify(threshold: float):
         inter = both[i, j].astype(np.float64)
         sure = inter / (size[i] + size[j] - inter) >= threshold
         i, j = i[sure], j[sure]
-        links = np.zeros(m, dtype=np.int64)
-        np.add.at(links, i, n[j])
-        np.add.at(links, j, n[i])
-        root = list(range(m))
-        _forest(rep, i, j, root)
+        links = np.bincount(i, n[j], m).astype(np.int64) + np.bincount(j, n[i], m).astype(np.int64)
         hit = np.flatnonzero(links)
-        return pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(links[hit]), pa.array(rep[_edges(rep, root)[hit]])], names=["rep", "links", "root"]) if len(hit) else None
+        return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(links[hit]), pa.array(node[least_labels(m, i, j)[hit]])], names=["node", "links", "root"]) if len(hit) else None
 
     return work
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """(id_col, n_links, class_id, kept) of every document; kept: the smallest id of its class, or no words."""
+def judged(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """(id_col, d1, d2, n_links, class_id, kept) of every document; kept: of the smallest id of its class, or no words.
+
+    The nodes of the graph are classes of documents with the same words, numbered as their table is written, so that
+    neither a repeated id nor a hash can merge two texts."""
     run = Scratch(spark, "forest")
     signed = run.keep(sign(docs, id_col, n), "signed")
     some = signed.where("sig IS NOT NULL")
-    classes = run.keep(some.groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.count("*").alias("n"), F.first("m").alias("m"), F.first("sig").alias("sig")), "classes")
+    found = some.groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.count("*").alias("n"), F.first("m").alias("m"), F.first("sig").alias("sig"))
+    classes = run.keep(found.withColumn("node", F.monotonically_increasing_id()), "classes")
     groups = candidates(spark, classes.where("rep IS NOT NULL"), run, threshold, recall, block)
-    weighed = groups.join(classes.select(F.col("rep").alias("node"), "m"), "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("m").alias("weight"))
-    sized = groups.join(weighed, "component").select(F.col("node").alias("rep"), "component", "size", "weight")
-    chosen = classes.select("f1", "f2", "rep", "n").join(sized, "rep")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), "text").join(chosen, "rep").select("rep", "component", "size", "weight", "n", "f1", "f2", "text")
+    weighed = groups.join(classes.select("node", "m"), "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("m").alias("weight"))
+    sized = groups.join(weighed, "component")
+    chosen = classes.select("f1", "f2", "node", F.col("rep").alias("doc"), "n").join(sized, "node")
+    # one row of each class, of its smallest id: rows with that id but other words are told apart by their words
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), "text").join(chosen, "doc").select("node", "component", "size", "weight", "n", "f1", "f2", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -282,20 +265,40 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
                     take.append(i)
                     got.append(shingles(w, n).tobytes())
             t = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[b.column(k).take(t) for k in range(5)], pa.array(got, pa.binary())], names=["rep", "component", "size", "weight", "n", "sh"])
-
-    sets = texts.mapInArrow(cut, "rep bigint, component bigint, size bigint, weight bigint, n bigint, sh binary")
-    found = _in_blocks(sets, "component", F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("weight") / SHINGLES)), ["n", "sh"]).mapInArrow(stream_groups(GROUP, _verify(threshold)), "rep bigint, links bigint, root bigint")
-    found = run.keep(found, "links")
-    comp = components(spark, found.select(F.col("rep").alias("a"), F.col("root").alias("b")), run, "cc")
-    totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    per = classes.select("f1", "f2", "rep", "n").join(totals, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    per = per.select("f1", "f2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("class_id"))
-    out = some.select("doc", "f1", "f2").join(per, ["f1", "f2"]).select(F.col("doc").alias(id_col), "n_links", "class_id")
-    bare = signed.where("sig IS NULL").select(F.col("doc").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("doc").alias("class_id"))
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(t) for k in range(5)], pa.array(got, pa.binary())], names=["node", "component", "size", "weight", "n", "sh"])
+
+    sets = texts.mapInArrow(cut, "node bigint, component bigint, size bigint, weight bigint, n bigint, sh binary")
+    blocks = F.greatest(block_count(F.col("size"), block), F.ceil(F.col("weight") / SHINGLES).cast("int"))
+    links = run.keep(_in_blocks(sets, "component", blocks, ["n", "sh"]).mapInArrow(stream_groups(GROUP, _verify(threshold)), "node bigint, links bigint, root bigint"), "links")
+    comp = components(spark, links.select(F.col("node").alias("a"), F.col("root").alias("b")), run, "cc")
+    least = comp.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("class_id"))
+    totals = links.groupBy("node").agg(F.sum("links").alias("links")).join(comp, "node", "left").join(least, "component", "left")
+    per = classes.select("f1", "f2", "rep", "n", "node").join(totals, "node", "left")
+    per = per.select("f1", "f2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"))
+    own = [F.col("doc").alias(id_col), "d1", "d2"]
+    out = some.select("doc", "d1", "d2", "f1", "f2").join(per, ["f1", "f2"]).select(*own, "n_links", "class_id")
+    bare = signed.where("sig IS NULL").select(*own, F.lit(0).cast("long").alias("n_links"), F.col("doc").alias("class_id"))
     return out.unionByName(bare).withColumn("kept", F.coalesce(F.col(id_col) == F.col("class_id"), F.lit(True)))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """(id_col, n_links, class_id, kept) of every document."""
+    return judged(spark, docs, id_col, threshold, n, recall, block).drop("d1", "d2")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs that near-duplicate detection keeps, all columns: of a class, the document of the smallest id,
+    once however often the row is repeated (by the id and text); of several texts with that id, each. Documents
+    without words all stay."""
+    seen = judged(spark, docs, id_col).groupBy("d1", "d2").agg(F.count("*").alias("n"), F.max("n_links").alias("links"), F.max("kept").alias("kept"))
+    told = Scratch(spark, "told").keep(seen.where("NOT kept OR (n > 1 AND links > 0)").select(F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), "kept"), "rows")
+    d1, d2 = row_key(id_col)
+    keyed = docs.withColumns({"__d1": d1, "__d2": d2})
+    alone = keyed.join(told.drop("kept"), ["__d1", "__d2"], "left_anti")
+    repeated = keyed.join(told.where("kept").drop("kept"), ["__d1", "__d2"], "left_semi").dropDuplicates(["__d1", "__d2"])
+    return alone.unionByName(repeated).drop("__d1", "__d2")
+
+
 def op3_shingle_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
