@@ -5,7 +5,8 @@ it has not met, the ledger remembers the pair, and findings are joined back to a
 DataFrame functions only.
 
 Defined results: null text is the empty blob, which has no findings; repeated rows are paths of their own
-with the same findings; an empty table gives an empty result; other columns of the input are ignored.
+with the same findings; very long texts are scanned whole, in linear time; an empty table gives an empty result;
+other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import Scratch, table
+from .shared import Scratch, small, table
 
 
 @dataclass(frozen=True)
@@ -56,16 +57,22 @@ def content_address(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def unseen_blobs(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def unseen_blobs(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES, run: Scratch | None = None) -> DataFrame:
     """(blob_id, text, todo): each distinct blob once, with the ids of the rules that it has not met.
 
-    Copies are combined before the shuffle, so a blob with many paths costs no more than another."""
-    blobs = versions.select(content_address(F.col("text")).alias("blob_id"), F.coalesce("text", F.lit("")).alias("text")).groupBy("blob_id").agg(F.first("text").alias("text"))
+    The ledger is asked by address alone; then only texts that are due are shuffled, none if nothing is. Copies are
+    combined before the shuffle, so a blob with many paths costs no more than another. run: where the addresses that
+    are due are kept, so that they are known before any text is moved; else they are part of the plan."""
+    at, text = content_address(F.col("text")).alias("blob_id"), F.coalesce("text", F.lit("")).alias("text")
     every = F.array(*[F.lit(r.id) for r in rules])
     if ledger is None:
-        return blobs.withColumn("todo", every)
+        return versions.select(at, text).groupBy("blob_id").agg(F.first("text").alias("text")).withColumn("todo", every)
     met = ledger.select("blob_id", F.explode("rule_ids").alias("r")).groupBy("blob_id").agg(F.collect_set("r").alias("met"))
-    return blobs.join(met, "blob_id", "left").select("blob_id", "text", F.array_except(every, F.coalesce("met", F.array().cast("array<string>"))).alias("todo")).where(F.size("todo") > 0)
+    left = F.array_except(every, F.coalesce("met", F.array().cast("array<string>"))).alias("todo")
+    due = versions.select(at).distinct().join(met, "blob_id", "left").select("blob_id", left).where(F.size("todo") > 0)
+    if run is not None:
+        due = small(run.keep(due, "due"))
+    return versions.select(at, text).join(due, "blob_id").groupBy("blob_id").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
 
 
 def _candidates(rule: Rule, rank: int) -> Column:
@@ -105,10 +112,10 @@ def update(spark: SparkSession, versions: DataFrame, path: str, rules: tuple[Rul
     duplicates that it may leave are removed on reading."""
     seen = _read(spark, f"{path}/scanned", SCANNED)
     run = Scratch(spark, "scan")
-    scanned = run.keep(scan(unseen_blobs(versions, seen, rules), rules), "rows")
+    scanned = run.keep(scan(unseen_blobs(versions, seen, rules, run), rules), "rows")
     place(scanned, rules).write.mode("append").parquet(f"{path}/findings")
     scanned.select("blob_id", "rule_ids").write.mode("append").parquet(f"{path}/scanned")
-    run.drop("rows")
+    run.clear()
     return spark.read.parquet(f"{path}/findings").where(F.col("rule_id").isin([r.id for r in rules])).dropDuplicates(["blob_id", "rule_id", "start"])
 
 
