@@ -2,18 +2,22 @@
 
 The leaves of the tree hold the ranks of adjacent symbol pairs; its root yields the leftmost pair of the
 lowest rank. A merge changes three leaves, each in logarithmic time, until no mergeable pair remains; so a
-piece of n bytes takes O(n log n), however long it is. Pieces seen before come from a table of bounded size.
+piece of n bytes takes O(n log n), however long it is. A node has FAN children, whose minimum is one call; a
+piece that one node can hold is merged in it. Pieces seen before come from a table of bounded size.
 Runs as a map over Arrow batches: no shuffle, and a lost executor costs only its own splits.
 
 Defined results: null text is empty (no ids); repeated rows are encoded each; added tokens in the text are
-single ids, as the library does without add_special_tokens; an empty table gives an empty result.
+single ids, as the library does without add_special_tokens; very long texts are encoded whole; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
+from unicodedata import category
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +28,13 @@ from .shared import table
 REMEMBERED = 300_000
 #: Above any leaf of the tree.
 NONE = 1 << 62
+#: Children of a node.
+FAN = 32
 #: The pre-tokenizer's pattern, a fixed value of byte-level BPE; \s is spelled out as Unicode's white space.
 SPACE = r"\t-\r \x85\xa0  -     　"
+#: The same for texts of ASCII and letters, whose white space is ASCII's; \s has four control characters too many.
+PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+"
+CONTROLS = "\x1c\x1d\x1e\x1f"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
@@ -60,63 +69,81 @@ class Codec:
             self.added[x["content"]] = x["id"]
             self.bytes[x["id"]] = x["content"].encode()
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.pieces = regex.compile(PATTERN).findall
+        self.split = regex.compile(PATTERN).findall
+        self.plain = re.compile(PLAIN).findall
+        self.letters: dict[str, bool] = {}
         self.known: dict[str, tuple[str, bytes]] = {}
         self.older: dict[str, tuple[str, bytes]] = {}
 
-    def merge(self, data: bytes) -> list[int]:
-        """The ids of one piece, by a segment tree whose leaf i holds rank * n + i of the pair that begins at i.
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokenizer's pieces. Where every character is ASCII (but for four controls) or a letter, the standard
+        library's faster engine has the same classes."""
+        letters = self.letters
+        for c in set(text):
+            if (fine := letters.get(c)) is None:
+                fine = letters[c] = c not in CONTROLS if c < "\x80" else category(c)[0] == "L" and c.isalnum()
+            if not fine:
+                return self.split(text)
+        return self.plain(text)
 
-        Ties in rank thus go to the left. A node is the lesser of its children, and an update climbs only as
-        far as a node changes. The tree is a flat list and inlined: pieces are short and many."""
-        byte_id, rank, made = self.byte_id, self.rank.get, self.made
+    def merge(self, data: bytes) -> list[int]:
+        """The ids of one piece."""
+        byte_id = self.byte_id
         ids = [byte_id[b] for b in data]
-        n = len(ids)
-        if n < 2:
-            return ids
-        size = 1 << (n - 2).bit_length()
-        none = NONE
-        leaves = [none if (r := rank(p)) is None else r * n + i for i, p in enumerate(zip(ids, ids[1:], strict=False))]
-        tree = level = leaves + [none] * (size - n + 1)
-        while len(level) > 1:
-            level = list(map(min, level[::2], level[1::2]))
-            tree = level + tree
-        # level k begins at 2**k - 1, so node j has children 2j + 1 and 2j + 2, and leaf i is node size - 1 + i
-        base = size - 1
+        return ids if len(ids) < 2 else self._in_one_node(ids) if len(ids) <= FAN + 1 else self._in_tree(ids)
+
+    def _in_one_node(self, ids: list[int]) -> list[int]:
+        """The tree of a piece that has a root only: its leaves are the pairs, and close up at each merge."""
+        rank, made = self.rank.get, self.made
+        leaves = [rank(p, NONE) for p in zip(ids, ids[1:], strict=False)]
+        while leaves and (r := min(leaves)) != NONE:
+            i = leaves.index(r)
+            x = ids[i] = made[r]
+            del ids[i + 1], leaves[i]
+            if i:
+                leaves[i - 1] = rank((ids[i - 1], x), NONE)
+            if i < len(leaves):
+                leaves[i] = rank((x, ids[i + 1]), NONE)
+        return ids
+
+    def _in_tree(self, ids: list[int]) -> list[int]:
+        """Leaf i holds rank * n + i of the pair that begins at i, so ties in rank go to the left; level k + 1 holds the
+        minima of FAN nodes of level k each, and an update climbs only as far as a node changes."""
+        rank, made, n = self.rank.get, self.made, len(ids)
+        levels = [[NONE if (r := rank(p)) is None else r * n + i for i, p in enumerate(zip(ids, ids[1:], strict=False))]]
+        while len(levels[-1]) > 1:
+            low = levels[-1]
+            levels.append([min(low[s : s + FAN]) for s in range(0, len(low), FAN)])
+        root, pairs = levels[-1], list(zip(levels, levels[1:], strict=False))
+
+        def put(i: int, v: int) -> None:
+            levels[0][i] = v
+            for low, high in pairs:
+                i //= FAN
+                v = min(low[i * FAN : (i + 1) * FAN])
+                if high[i] == v:
+                    return
+                high[i] = v
+
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while (top := tree[0]) != none:
+        while (top := root[0]) != NONE:
             r, i = divmod(top, n)
             j = after[i]
             k = after[i] = after[j]
             x = ids[i] = made[r]
             ids[j] = -1
-            changes = []
+            if j < n - 1:
+                put(j, NONE)
             if k < n:
                 before[k] = i
-                changes.append((j, none))
                 r = rank((x, ids[k]))
-                changes.append((i, none if r is None else r * n + i))
+                put(i, NONE if r is None else r * n + i)
             else:
-                if j < n - 1:
-                    changes.append((j, none))
-                changes.append((i, none))
+                put(i, NONE)
             q = before[i]
             if q >= 0:
                 r = rank((ids[q], x))
-                changes.append((q, none if r is None else r * n + q))
-            for i, v in changes:
-                j = base + i
-                if tree[j] == v:
-                    continue
-                tree[j] = v
-                while j:
-                    w = tree[j - 1] if not j & 1 else tree[j + 1]
-                    if w < v:
-                        v = w
-                    j = (j - 1) >> 1
-                    if tree[j] == v:
-                        break
-                    tree[j] = v
+                put(q, NONE if r is None else r * n + q)
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> list[int]:
@@ -131,7 +158,7 @@ class Codec:
     def _learn(self, piece: str) -> tuple[str, bytes]:
         if (got := self.older.get(piece)) is None:
             ids = self.merge(piece.encode())
-            got = (",".join(map(str, ids)), b"".join([self.bytes[i] for i in ids]))
+            got = (",".join([str(i) for i in ids]), b"".join([self.bytes[i] for i in ids]))
         if len(self.known) >= REMEMBERED:
             self.older = dict(self.known)
             self.known.clear()
@@ -142,7 +169,7 @@ class Codec:
         """(number of ids, SHA-256 of the ids joined by commas, SHA-256 of the text decoded from the ids)."""
         known, learn, added = self.known.get, self._learn, self.added
         got: list[tuple[str, bytes]] = []
-        for part in self.special.split(text) if self.special and "<" in text else [text]:
+        for part in self.special.split(text) if any(a in text for a in added) else [text]:
             if part in added:
                 got.append((str(added[part]), part.encode()))
             else:
