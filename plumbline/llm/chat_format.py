@@ -6,8 +6,9 @@ Control strings inside roles and texts are escaped reversibly, so the formatted
 
 Defined results: null text and null role are empty; turns are ordered by turn (nulls first), then role and
 text; repeated rows are turns of their own; an invalid turn order is reported in `valid`, and such a
-conversation is still formatted; a null conv_id is a conversation of its own; other columns are ignored. A
-conversation is one string by contract, so its turns meet in one row; nothing else is gathered.
+conversation is still formatted; a null conv_id is a conversation of its own; very long texts are formatted whole; an
+empty table gives an empty result; other columns are ignored. A conversation is one string by contract, so its turns
+meet in one row; nothing else is gathered.
 """
 
 from __future__ import annotations
