@@ -7,10 +7,13 @@ x . (c_a - c_b) <= sqrt(2 - 2t) |c_a - c_b|. No link is lost, whatever the cells
 blocks are compared pair by pair; a task holds two blocks and returns link counts and a spanning forest,
 never the pairs. Components come from the forests (shared.components).
 
+There are about as many cells as PER_CELL vectors each make, up to CELLS: beyond PER_CELL * CELLS vectors of one label
+the cells grow, and with them the work of a vector.
+
 Defined results: null, zero, empty or non-finite vectors, and null labels, link with nothing; vectors of
 unequal length don't link; repeated rows are vectors of their own that link with each other (rows with one
 vec_id share its component); vectors with a null vec_id link with their copies only; kept marks the smallest
-vec_id of a component.
+vec_id of a component; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, components, stream_groups, table
+from .shared import Scratch, components, least_labels, stream_groups, table
 
 THRESHOLD = 0.98
-#: Fitting sample: at most so many vectors in all; and cells: at most so many a label and in all.
-SAMPLE, PER_CELL, CELLS_A_LABEL, CELLS = 40_000, 1_000, 64, 2_048
-#: Rows of a block; a task holds two blocks.
-BLOCK = 1_024
+#: Fitting sample: at most so many vectors in all; vectors that a cell should hold; cells of all labels together, and
+#: children of one cell, at most.
+SAMPLE, PER_CELL, CELLS, CHILDREN = 60_000, 1_000, 6_000, 64
+#: Rows of a block; a task holds two blocks (of vectors of a thousand numbers, 64 MB).
+BLOCK = 4_096
 
 
 def usable(vector, label):
@@ -42,35 +46,65 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _kmeans(x: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(unit centroids, each row's own) by spherical k-means."""
+    rng = np.random.default_rng(seed)
+    c = x[rng.choice(len(x), k, replace=False)]
+    for _ in range(12):
+        at = (x @ c.T).argmax(axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, at, x)
+        norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        new = np.where(norm > 1e-12, sums / np.maximum(norm, 1e-12), c)
+        if np.allclose(new, c):
+            break
+        c = new
+    return c, (x @ c.T).argmax(axis=1)
+
+
+def split_cells(x: np.ndarray, scale: float, most: int, seed: int = 7) -> np.ndarray:
+    """At most `most` unit centroids for rows x, each of which stands for `scale` vectors: a cell that would hold more
+    than PER_CELL is split again, into CHILDREN at most, as long as its rows suffice (eight a child)."""
+    done: list[np.ndarray] = []
+    todo = [x]
+    while todo:
+        rows = todo.pop()
+        left = most - len(done) - len(todo)
+        k = int(min(CHILDREN, left, len(rows) // 8, round(len(rows) * scale / PER_CELL)))
+        if k < 2:
+            mean = rows.sum(axis=0)
+            norm = float(np.sqrt((mean * mean).sum()))
+            done.append(mean / norm if norm > 1e-12 else rows[0])
+            continue
+        c, at = _kmeans(rows, k, seed)
+        parts = [rows[at == i] for i in range(k) if (at == i).any()]
+        if len(parts) < 2:
+            done.append(c[0])
+        else:
+            todo += sorted(parts, key=len)
+    return np.array(done)
+
+
 def fit_cells(rows: DataFrame, seed: int = 7) -> dict:
-    """{(label, dim): unit centroids} by spherical k-means over at most SAMPLE vectors (label, vec).
+    """{(label, dim): unit centroids} by spherical k-means, level by level, over at most SAMPLE vectors (label, vec).
 
     The sample is by hash of the vector, so it is the same however the table is dealt out; the driver holds
-    SAMPLE vectors at most. Labels that the sample misses have one cell, which is exact as well."""
+    SAMPLE vectors at most, as arrays. Labels that the sample misses have one cell, which is exact as well."""
     n = rows.count()
     part = rows if n <= SAMPLE else rows.where(F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < int(900_000 * SAMPLE / n))
+    got = part.select("label", "vec", F.xxhash64("vec").alias("h")).orderBy("h").limit(SAMPLE).drop("h").toArrow()
+    labels, vecs = got.column("label").to_pylist(), got.column("vec").combine_chunks()
+    flat, off = np.asarray(vecs.values, dtype=np.float64), np.asarray(vecs.offsets)
     groups: dict = {}
-    for r in part.select("label", "vec").limit(SAMPLE).toLocalIterator():
-        groups.setdefault((r["label"], len(r["vec"])), []).append(r["vec"])
+    for i, key in enumerate(zip(labels, (off[1:] - off[:-1]).tolist(), strict=True)):
+        groups.setdefault(key, []).append(i)
     scale, out, left = max(1.0, n / SAMPLE), {}, CELLS
     for key in sorted(groups, key=lambda k: (-len(groups[k]), str(k))):
-        x = _unit(np.array(sorted(groups[key]), dtype=np.float64))
-        k = int(min(CELLS_A_LABEL, left, max(1, len(x) // 8), round(len(x) * scale / PER_CELL)))
-        if k < 2:
-            continue
-        left -= k
-        rng = np.random.default_rng(seed)
-        c = x[rng.choice(len(x), k, replace=False)]
-        for _ in range(12):
-            at = (x @ c.T).argmax(axis=1)
-            sums = np.zeros_like(c)
-            np.add.at(sums, at, x)
-            norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-            new = np.where(norm > 1e-12, sums / np.maximum(norm, 1e-12), c)
-            if np.allclose(new, c):
-                break
-            c = new
-        out[key] = c
+        x = _unit(np.stack([flat[off[i] : off[i + 1]] for i in groups[key]]))
+        c = split_cells(x[np.lexsort(x.T)], scale, left, seed)
+        if len(c) > 1:
+            left -= len(c)
+            out[key] = c
     return out
 
 
@@ -120,20 +154,13 @@ def _compare(threshold: float):
         home, rep, n = t.column("home").to_numpy(), t.column("rep").to_numpy(), t.column("n").to_numpy()
         vecs = t.column("vec").combine_chunks()
         dims = np.diff(np.asarray(vecs.offsets))
-        links, root = np.zeros(len(rep), dtype=np.int64), np.arange(len(rep))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
+        same = t.column("bi")[0].as_py() == t.column("bj")[0].as_py()
         flat, off = np.asarray(vecs.values, dtype=np.float64), np.asarray(vecs.offsets)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for dim in np.unique(dims):
             rows = np.flatnonzero(dims == dim)
             raw = np.stack([flat[off[i] : off[i + 1]] for i in rows])
             x = _unit(raw)
-            same = t.column("bi")[0].as_py() == t.column("bj")[0].as_py()
             left = np.flatnonzero(side[rows] == 0)
             right = left if same else np.flatnonzero(side[rows] == 1)
             for s in range(0, len(left), 512):
@@ -141,27 +168,22 @@ def _compare(threshold: float):
                 cos = x[a] @ x[right].T
                 p, q = np.nonzero(cos >= threshold - 1e-9)
                 i, j = a[p], right[q]
-                ok = (rows[i] < rows[j]) if same else np.ones(len(i), dtype=bool)
                 gi, gj = rows[i], rows[j]
+                ok = (gi < gj) if same else np.ones(len(i), dtype=bool)
                 ok &= (home[gi] | home[gj]) & (rep[gi] != rep[gj])
                 close = np.abs(cos[p, q] - threshold) <= 1e-9
                 for m in np.flatnonzero(ok & close):
                     u, v = raw[i[m]], raw[j[m]]
                     ok[m] = float((u * v).sum()) / (float(np.sqrt((u * u).sum())) * float(np.sqrt((v * v).sum()))) >= threshold
-                gi, gj = gi[ok], gj[ok]
-                np.add.at(links, gi, n[gj])
-                np.add.at(links, gj, n[gi])
-                for u, v in zip(gi.tolist(), gj.tolist(), strict=True):
-                    ru, rv = find(u), find(v)
-                    if ru != rv:
-                        if rep[ru] < rep[rv]:
-                            root[rv] = ru
-                        else:
-                            root[ru] = rv
+                found.append((gi[ok], gj[ok]))
+        if not found:
+            return None
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        links = np.bincount(i, n[j], len(rep)).astype(np.int64) + np.bincount(j, n[i], len(rep)).astype(np.int64)
         hit = np.flatnonzero(links)
         if not len(hit):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(links[hit]), pa.array(rep[[find(i) for i in hit.tolist()]])], names=["rep", "links", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(links[hit]), pa.array(rep[least_labels(len(rep), i, j)[hit]])], names=["rep", "links", "root"])
 
     return work
 
