@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import asdict, dataclass
+from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,26 +24,43 @@ def _pairs(df: DataFrame, f: str, r: str) -> DataFrame:
     return df.where(fine(f) & fine(r))
 
 
+def _finite(c: Column) -> Column:
+    return F.coalesce(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+
+
+def date_correlations(df: DataFrame, pairs: dict[str, tuple[str, str, bool]], date: str = "date") -> DataFrame:
+    """(date, <name>, n_<name> ...): for each name -> (a, b, by rank) the correlation over rows that know both, clipped to
+    [-1, 1]; NULL under two pairs or where a side is constant. Every date of df is there.
+
+    Any number of pairs takes one shuffle by date: ranks and centred sums (two passes, so that nothing cancels) are
+    windows of that partitioning."""
+    w, of = Window.partitionBy(date), range(len(pairs))
+    both = [_finite(F.col(a).cast("double")) & _finite(F.col(b).cast("double")) for a, b, _ in pairs.values()]
+    side = {f"_{s}{k}": F.when(ok, F.col(c).cast("double")) for k, (ok, (a, b, _)) in enumerate(zip(both, pairs.values(), strict=True)) for s, c in (("x", a), ("y", b))}
+    p = df.select(date, *[c.alias(n) for n, c in side.items()])
+    ranked = [f"_{s}{k}" for k, (_, _, rank) in enumerate(pairs.values()) if rank for s in "xy"]
+    p = p.select(date, *[(average_rank(n, date) if n in ranked else F.col(n)).alias(n) for n in side])
+    p = p.select("*", *[(F.col(n) - F.avg(n).over(w)).alias(f"_d{n}") for n in side])
+    sums = []
+    for k in of:
+        x, y = f"_d_x{k}", f"_d_y{k}"
+        sums += [F.count(f"_x{k}").alias(f"_n{k}"), F.sum(F.col(x) * F.col(y)).alias(f"_xy{k}"), F.sum(F.col(x) * F.col(x)).alias(f"_xx{k}"), F.sum(F.col(y) * F.col(y)).alias(f"_yy{k}")]
+        sums += [((F.min(f"_x{k}") < F.max(f"_x{k}")) & (F.min(f"_y{k}") < F.max(f"_y{k}"))).alias(f"_v{k}")]
+    s, out = p.groupBy(date).agg(*sums), [F.col(date)]
+    for k, name in enumerate(pairs):
+        value = F.when((F.col(f"_n{k}") >= 2) & F.col(f"_v{k}"), F.try_divide(f"_xy{k}", F.sqrt(F.col(f"_xx{k}") * F.col(f"_yy{k}"))))
+        out += [F.when(value.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))).alias(name), F.col(f"_n{k}").alias(f"n_{name}")]
+    return s.select(*out)
+
+
 def correlation(df: DataFrame, a: str, b: str, key: str, out: str = "ic") -> DataFrame:
-    """(key, out): Pearson correlation by two passes of centred sums, clipped to [-1, 1]; NULL under two pairs or
-    where a side is constant. Every key of df is there."""
-    w = Window.partitionBy(key)
-    p = _pairs(df, a, b).select(key, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
-    c = p.withColumn("x", F.col("a") - F.avg("a").over(w)).withColumn("y", F.col("b") - F.avg("b").over(w))
-    s = c.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"), (F.min("a") < F.max("a")).alias("va"), (F.min("b") < F.max("b")).alias("vb"))
-    value = F.when((F.col("n") >= 2) & F.col("va") & F.col("vb"), F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))))
-    return df.select(key).distinct().join(s.select(key, F.when(value.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))).alias(out), "n"), key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    """(key, out, n): Pearson correlation; see date_correlations."""
+    return date_correlations(df, {out: (a, b, False)}, key).withColumnRenamed(f"n_{out}", "n")
 
 
 def information_coefficient(df: DataFrame, f: str = "factor", r: str = "fwd", method: str = "spearman", date: str = "date") -> DataFrame:
     """(date, ic, n): rank (or plain) correlation of factor and forward return for each date."""
-    p = _pairs(df, f, r)
-    if method == "spearman":
-        p = p.withColumn("_f", average_rank(f, date)).withColumn("_r", average_rank(r, date))
-        out = correlation(p, "_f", "_r", date)
-    else:
-        out = correlation(p, f, r, date)
-    return df.select(date).distinct().join(out, date, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return date_correlations(df, {"ic": (f, r, method == "spearman")}, date).withColumnRenamed("n_ic", "n")
 
 
 def ic_summary(ic: DataFrame, col: str = "ic") -> DataFrame:
@@ -122,7 +139,7 @@ def newey_west_t(x: list[float | None], lag: int | None = None) -> float | None:
         return None
     mean = math.fsum(known) / n
     d = [0.0 if v is None else v - mean for v in x]
-    lag = int(4 * (n / 100) ** (2 / 9)) if lag is None else lag
+    lag = newey_west_lag(n) if lag is None else lag
     s = math.fsum(a * a for a in d) / n
     for k in range(1, min(lag, len(d) - 1) + 1):
         s += 2 * (1 - k / (lag + 1)) * math.fsum(a * b for a, b in zip(d[k:], d, strict=False)) / n
@@ -142,25 +159,31 @@ def newey_west_frame(df: DataFrame, col: str, lag: int, date: str = "date") -> D
     return out.select(F.when((F.col("n") >= 2) & (F.col("_s") > 0), F.col("_m") / F.sqrt(F.col("_s") / F.col("n"))).alias("t"), "n")
 
 
-def autocorrelations(x: list[float], most: int) -> list[float]:
-    n, m = len(x), math.fsum(x) / len(x)
-    d = [v - m for v in x]
-    v0 = math.fsum(a * a for a in d)
-    return [math.fsum(a * b for a, b in zip(d[k:], d, strict=False)) / v0 for k in range(1, min(most, n - 1) + 1)] if v0 > 0 else []
+def newey_west_lag(n: int) -> int:
+    return int(4 * (n / 100) ** (2 / 9))
 
 
 def effective_sample_size(x: list[float | None]) -> float:
-    """n / (1 + 2 sum of autocorrelations up to the first that isn't positive), between 1 and n."""
+    """n / (1 + 2 sum of autocorrelations), between 1 and n. Lags go up to Newey and West's, and on as long as the next
+    autocorrelation is positive. A gap keeps its place and deviates by nothing, so no pair bridges it. A constant series
+    is one sample; negative sums count as none."""
     known = [v for v in x if v is not None]
     n = len(known)
-    if n < 3:
+    if n < 2:
         return float(n)
-    total = 0.0
-    for r in autocorrelations(known, n - 1):
-        if r <= 0:
+    m = math.fsum(known) / n
+    d = [0.0 if v is None else v - m for v in x]
+    v0 = math.fsum(a * a for a in d)
+    if v0 <= 0 or min(known) == max(known):
+        return 1.0
+    most, total = min(len(d) - 1, n - 1), 0.0
+    for k in range(1, most + 1):
+        rho = math.fsum(a * b for a, b in zip(d[k:], d, strict=False)) / v0
+        if k > newey_west_lag(n) and rho <= 0:
             break
-        total += r
-    return min(float(n), max(1.0, n / (1 + 2 * total)))
+        total += rho
+    by = 1 + 2 * total
+    return float(n) if by <= 0 else min(float(n), max(1.0, n / by))
 
 
 def mean_interval(x: list[float | None], z: float = 1.959963984540054) -> tuple[float, float] | None:
@@ -171,7 +194,9 @@ def mean_interval(x: list[float | None], z: float = 1.959963984540054) -> tuple[
         return None
     m = math.fsum(known) / n
     sd = math.sqrt(math.fsum((v - m) ** 2 for v in known) / (n - 1))
-    half = z * sd / math.sqrt(effective_sample_size(x))
+    if sd <= 0:
+        return None
+    half = z * sd / math.sqrt(effective_sample_size(known))
     return m - half, m + half
 
 
@@ -203,112 +228,29 @@ def split_oos(df: DataFrame, split: str, realized: str = "realized_date") -> Dat
     return df.withColumn("part", F.when(F.col(realized) < F.to_date(F.lit(split)), "train").when(F.col(realized).isNotNull(), "test"))
 
 
-#: Fixed thresholds of the verdict.
-MIN_REBALANCES, MIN_N_EFF, MIN_DAYS = 12, 24, 365
-MIN_ICIR, MIN_INCREMENTAL, MIN_WIN, MIN_T, MIN_MONOTONICITY = 0.30, 0.15, 0.55, 2.0, 0.0
-PASS, FAIL, SHORT, NONE = "PASS", "FAIL", "INSUFFICIENT_DATA", "NOT_ASSESSED"
-
-
-@dataclass(frozen=True)
-class VerdictInputs:
-    sign: int
-    n_rebalances: int
-    n_eff: float | None
-    span_days: int
-    icir: float | None
-    t: float | None
-    win: float | None
-    spread_aligned: float | None = None
-    monotonicity: float | None = None
-    oos_sign_ok: bool | None = None
-    incremental_icir: float | None = None
-
-
-@dataclass(frozen=True)
-class Verdict:
-    predictive: str
-    tradable: str
-    incremental: str
-    decision: str
-    reasons: tuple[str, ...]
-
-
-def decide(v: VerdictInputs) -> Verdict:
-    """Three axes and the decision they give: Adopt, Watch, Reject or INSUFFICIENT-DATA."""
-    why: list[str] = []
-    short = v.n_rebalances < MIN_REBALANCES or (v.n_eff or 0) < MIN_N_EFF or v.span_days < MIN_DAYS
-    if short:
-        why.append("too few rebalances, effective samples or days")
-
-    def axis(name: str, known: bool, tests: list[tuple[str, bool]]) -> str:
-        if short:
-            return SHORT
-        if not known:
-            return NONE
-        failed = [t for t, ok in tests if not ok]
-        why.extend(f"{name}: {t}" for t in failed)
-        return FAIL if failed else PASS
-
-    s = v.sign
-    predictive = axis("predictive", v.icir is not None and v.t is not None and v.win is not None, [
-        ("information ratio", (v.icir or 0) * s >= MIN_ICIR), ("t", (v.t or 0) * s >= MIN_T), ("win rate", (v.win or 0) >= MIN_WIN), ("sign out of sample", v.oos_sign_ok is not False),
-    ])
-    trade = axis("tradable", v.spread_aligned is not None, [("spread after cost", (v.spread_aligned or 0) > 0), ("monotonicity", v.monotonicity is None or v.monotonicity * s > MIN_MONOTONICITY)])
-    extra = axis("incremental", v.incremental_icir is not None, [("incremental information ratio", (v.incremental_icir or 0) * s >= MIN_INCREMENTAL)])
-    axes = (predictive, trade, extra)
-    if SHORT in axes:
-        decision = "INSUFFICIENT-DATA"
-    elif predictive == FAIL:
-        decision = "Reject"
-    elif all(a == PASS for a in axes):
-        decision = "Adopt"
-    else:
-        decision = "Watch"
-    return Verdict(*axes, decision, tuple(why))
+def perf_of_nav(nav: list[float], periods: int) -> dict[str, float]:
+    """Annual return, volatility, Sharpe and maximum drawdown of a NAV at its rebalances (one value a period)."""
+    if len(nav) < 2:
+        return {"annual_return": 0.0, "volatility": 0.0, "sharpe": 0.0, "max_drawdown": 0.0}
+    r = [b / a - 1 for a, b in zip(nav, nav[1:], strict=False)]
+    growth, mean = nav[-1] / nav[0], sum(r) / len(r)
+    sd = math.sqrt(sum((x - mean) ** 2 for x in r) / (len(r) - 1)) if len(r) > 1 else 0.0
+    top, worst = nav[0], 0.0
+    for x in nav:
+        top = max(top, x)
+        worst = min(worst, x / top - 1)
+    return {"annual_return": growth ** (periods / len(r)) - 1 if growth > 0 else growth - 1, "volatility": sd * math.sqrt(periods), "sharpe": mean / sd * math.sqrt(periods) if sd > 0 else 0.0, "max_drawdown": worst}
 
 
 def evaluate(df: DataFrame, f: str, sign: int, q: int = 5, fee: float = 0.001, split: str | None = None, book: list[str] | None = None, capacity: dict | None = None) -> dict:
-    """The report of one factor over (date, symbol, f, fwd): sections, verdict inputs and verdict.
-
-    Each section is a small table by date or less; the pair table is the only large one. Returns are realised at
-    df's realized_date (the latest of a date) or else on the next date; one that is realised at the split or later
-    belongs to the test half, and a last one before the split of unknown end to neither. capacity is passed on."""
-    from .xsection import orthogonalize
-
-    ic = information_coefficient(df, f).persist()
-    values = series(ic, "ic")
-    known = [v for v in values if v is not None]
-    s = ic_summary(ic).first()
-    n_eff = effective_sample_size(values)
-    spread = long_short(df, q, fee, sign, f).agg(F.avg("gross").alias("gross"), F.avg("cost").alias("cost"), F.avg("aligned").alias("aligned")).first()
-    mono = monotonicity(quantile_returns(df, q, f)).agg(F.avg("ic")).first()[0]
-    rho = rank_autocorrelation(df, 1, f).agg(F.avg("ic")).first()[0]
-    span = ic.agg(F.datediff(F.max("date"), F.min("date"))).first()[0] or 0
-    oos = None
-    if split:
-        if "realized_date" in df.columns:
-            dated = ic.join(df.groupBy("date").agg(F.max("realized_date").alias("realized_date")), "date")
-        else:
-            later = F.lead("date").over(Window.partitionBy(F.lit(0)).orderBy("date"))
-            dated = ic.withColumn("realized_date", F.coalesce(later, F.when(F.col("date") >= F.to_date(F.lit(split)), F.col("date"))))
-        halves = {r["part"]: r["m"] for r in split_oos(dated, split).groupBy("part").agg(F.avg("ic").alias("m")).collect()}
-        oos = {p: halves.get(p) for p in ("train", "test")}
-    pure = None
-    if book:
-        pure = ic_summary(information_coefficient(orthogonalize(df, f, book, out="_pure"), "_pure")).first()
-    inputs = VerdictInputs(sign, len(known), n_eff, int(span), s["ir"], newey_west_t(values), win_rate(values, sign), spread["aligned"], mono, None if not oos or None in oos.values() else oos["train"] * oos["test"] > 0, pure["ir"] if pure else None)
-    cover = df.agg(F.count("*").alias("rows"), F.count(f).alias("known"), F.countDistinct("symbol").alias("symbols"), F.countDistinct("date").alias("dates")).first().asDict()
-    ic.unpersist()
-    return {
-        "predictive_power": {"mean": s["mean"], "std": s["std"], "ir": s["ir"], "interval": mean_interval(values), "t": inputs.t, "win_rate": inputs.win},
-        "return_risk": {"gross": spread["gross"], "cost": spread["cost"], "aligned": spread["aligned"], "monotonicity": mono},
-        "stability_cost": {"rank_autocorrelation": rho, "half_life": half_life(rho)},
-        "purity": {"book": book or [], "incremental_ir": inputs.incremental_icir},
-        "oos_generalization": oos,
-        "execution_capacity": capacity,
-        "data_coverage": {**cover, "n_eff": n_eff, "span_days": int(span)},
-        "caveats": [] if split else ["no out-of-sample split was asked for"],
-        "inputs": asdict(inputs),
-        "verdict": asdict(decide(inputs)),
-    }
+    """plans.report.evaluate_factor() for a factor without declarations: its sections, verdict inputs and verdict.
+
+    The frequency isn't declared and so not checked; returns are realised at df's realized_date (the latest of a date)
+    or else on the next date. Of the out-of-sample section only the means of both parts; capacity is passed on."""
+    from ..plans.report import EvalConfig, EvalContext, evaluate_factor
 
+    cfg = EvalConfig("undeclared", True, "undeclared", "undeclared", False, False, rebalance="undeclared", n_quantiles=q, oos_split=split)
+    r = evaluate_factor(df, f, sign, cfg, EvalContext(fee, tuple(book or ()), execution_capacity=capacity))
+    oos = r.sections["oos_generalization"]
+    short = {"oos_generalization": oos and {k: oos[k] for k in ("train", "test")}, "execution_capacity": capacity}
+    return {**r.sections, **short, "inputs": asdict(r.inputs), "verdict": r.verdict}

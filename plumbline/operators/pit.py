@@ -33,11 +33,13 @@ def members_asof(dates: DataFrame, snapshots: DataFrame, date: str = "date", sna
 
 def interval_join(left: DataFrame, spans: DataFrame, fields: list[str], by: str = "symbol", date: str = "date", start: str = "valid_from", end: str = "valid_to", closed: bool = False) -> DataFrame:
     """left with the fields of the span that holds its date: [start, end), or [start, end] if closed; a missing
-    end is open, a missing start is from ever; of several the latest start counts. Hash join on the key."""
+    end is open, a missing start is from ever; of several the latest start counts. Hash join on the key; rows are told
+    apart by a number of their own, so repeated ones stay, and the choice is a window of the join's partitioning."""
     s = spans.select(F.col(by).alias("_b"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.struct(*fields).alias("_f"))
     inside = (F.col("_s").isNull() | (F.col("_s") <= F.col(date))) & (F.col("_e").isNull() | ((F.col(date) <= F.col("_e")) if closed else (F.col(date) < F.col("_e"))))
-    both = left.join(s, (F.col(by) == F.col("_b")) & inside, "left")
-    best = both.groupBy(*left.columns).agg(F.max_by("_f", F.struct(F.coalesce("_s", F.lit("0001-01-01").cast("date")), F.col("_f"))).alias("_f"))
+    both = left.withColumn("_row", F.monotonically_increasing_id()).join(s, (F.col(by) == F.col("_b")) & inside, "left")
+    latest = Window.partitionBy(by, "_row").orderBy(F.coalesce("_s", F.lit("0001-01-01").cast("date")).desc(), F.col("_f").desc())
+    best = both.withColumn("_i", F.row_number().over(latest)).where("_i = 1")
     return best.select(*left.columns, *[F.col("_f")[f].alias(f) for f in fields])
 
 

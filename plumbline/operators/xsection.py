@@ -8,9 +8,9 @@ from pyspark.sql.window import Window
 
 
 def average_rank(x: str, *keys: str) -> Column:
-    """Rank among the known values of a group; ties share their mean rank. NULL stays NULL."""
-    w = Window.partitionBy(*keys, F.col(x).isNull()).orderBy(x)
-    ties = F.count("*").over(Window.partitionBy(*keys, x))
+    """Rank among the known values of a group; ties share their mean rank. NULL stays NULL. One sort of the group."""
+    w = Window.partitionBy(*keys).orderBy(F.col(x).asc_nulls_last())
+    ties = F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow))
     return F.when(F.col(x).isNotNull(), F.rank().over(w) + (ties - 1) / 2)
 
 
@@ -60,9 +60,12 @@ def neutralize(df: DataFrame, y: str, size: str, industry: str, date: str = "dat
     base = df.withColumn("_ok", ok).withColumn("_l", ln)
     base = base.withColumn("_dy", F.col(y) - F.avg(y).over(inner)).withColumn("_dx", F.col("_l") - F.avg("_l").over(inner))
     sxy, sxx = F.sum(F.col("_dy") * F.col("_dx")).over(outer), F.sum(F.col("_dx") * F.col("_dx")).over(outer)
-    n, g = F.count("*").over(outer), F.size(F.collect_set(industry).over(outer))
+    # an industry counts once, at the first of its rows
+    first = F.row_number().over(inner.orderBy(size)) == 1
+    base = base.withColumn("_g", first.cast("int"))
+    n, g = F.count("*").over(outer), F.sum("_g").over(outer)
     slope = F.when(sxx > 1e-18, sxy / F.when(sxx > 1e-18, sxx)).otherwise(0.0)
-    return base.withColumn(out, F.when(F.col("_ok") & (n >= least) & (n > 1 + g), F.col("_dy") - slope * F.col("_dx"))).drop("_ok", "_l", "_dy", "_dx")
+    return base.withColumn(out, F.when(F.col("_ok") & (n >= least) & (n > 1 + g), F.col("_dy") - slope * F.col("_dx"))).drop("_ok", "_l", "_dy", "_dx", "_g")
 
 
 def orthogonalize(df: DataFrame, y: str, anchors: list[str], date: str = "date", out: str = "pure") -> DataFrame:

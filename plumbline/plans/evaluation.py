@@ -13,6 +13,7 @@ from ..operators import portfolio, xsection
 from ..sources import harness
 from ..sources.harness import oracle
 from .daily import MOM, RET, R, W, win
+from .report import EvalConfig, EvalContext, evaluate_factor
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -106,8 +107,9 @@ def newey_west(spark: SparkSession, sf: str) -> DataFrame:
     return ev.newey_west_frame(ic, "ic", 4).select(round6(F.col("t")).alias("t"), "n")
 
 
-@query("effective_samples", oracle("""SELECT floor(least(n, greatest(1, n / (1 + 2 * coalesce(sum(r) FILTER (k < cut), 0)))) * 1e6 + 0.5) / 1e6 AS n_eff, n FROM (SELECT k, r, n, coalesce(min(k) FILTER (r <= 0) OVER (), 100000) AS cut FROM
-  (SELECT k, sum(a.d * b.d) / any_value(v) AS r, any_value(a.n) AS n FROM x a, x b, (SELECT sum(d * d) AS v FROM x), (SELECT unnest(range(1, 60)) AS k) WHERE b.i = a.i - k GROUP BY k)) GROUP BY n""", "panel", **SPEAR, x=f"SELECT row_number() OVER (ORDER BY date) AS i, ic - avg(ic) OVER () AS d, count(*) OVER () AS n FROM (SELECT date, {R('ic', 'ic')} FROM ic WHERE ic IS NOT NULL)"))
+@query("effective_samples", oracle("""SELECT floor(CASE WHEN 1 + 2 * s <= 0 THEN n ELSE least(n, greatest(1, n / (1 + 2 * s))) END * 1e6 + 0.5) / 1e6 AS n_eff, n FROM
+  (SELECT any_value(n) AS n, coalesce(sum(r) FILTER (k < cut), 0) AS s FROM (SELECT *, coalesce(min(k) FILTER (r <= 0 AND k > floor(4 * (n / 100.0) ** (2 / 9.0))) OVER (), 1000000) AS cut FROM
+    (SELECT a.i - b.i AS k, sum(a.d * b.d) / any_value(a.v) AS r, any_value(a.n) AS n FROM x a JOIN x b ON a.i > b.i AND a.i - b.i < a.n GROUP BY 1)))""", "panel", **SPEAR, x=f"SELECT row_number() OVER (ORDER BY date) AS i, coalesce(ic - m, 0) AS d, n, sum(coalesce(ic - m, 0) ** 2) OVER () AS v FROM (SELECT date, {R('ic', 'ic')} FROM ic), (SELECT avg(ic) AS m, count(ic) AS n FROM (SELECT {R('ic', 'ic')} FROM ic))"))
 def effective_samples(spark: SparkSession, sf: str) -> DataFrame:
     values = ev.series(ev.information_coefficient(pairs(spark, sf)).select("date", round6(F.col("ic")).alias("ic")), "ic")
     n = sum(v is not None for v in values)
@@ -183,12 +185,94 @@ def backtest_constrained(spark: SparkSession, sf: str) -> DataFrame:
     return portfolio.simulate(rows)
 
 
+def _report(spark: SparkSession, sf: str):
+    """The whole report of momentum against a one-factor book, split by date of realisation."""
+    cfg = EvalConfig("all", True, "1992-01-01", "1999-12-31", False, False, oos_split="1996-01-01", n_factors_screened=4)
+    return evaluate_factor(pairs(spark, sf), "factor", 1, cfg, EvalContext(known_factors=("vol",), universe_symbols=("P0", "none"), min_history_bars=21))
+
+
+def _row(spark: SparkSession, row: dict) -> DataFrame:
+    """One row of driver figures, numbers to six decimals; unknown ones are numbers."""
+    kind = lambda v: "string" if isinstance(v, str) else "boolean" if isinstance(v, bool) else "long" if isinstance(v, int) else "double"
+    df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {kind(v)}" for k, v in row.items()))
+    return df.select(*[round6(F.col(k)).alias(k) if kind(v) == "double" else F.col(k) for k, v in row.items()])
+
+
+LAGGED = f"SELECT *, lag(factor, 1) OVER s AS f1, lag(factor, 2) OVER s AS f2, lag(factor, 3) OVER s AS f3, lag(factor, 5) OVER s AS f5 FROM pairs {W}"
+
+
+def _rank_corr(a: str, b: str, src: str = "lagged", ranked: bool = True) -> str:
+    """SQL of the per-date correlations `c` of columns a and b of src."""
+    x = lambda c: f"rank() OVER (PARTITION BY date ORDER BY {c}) + (count(*) OVER (PARTITION BY date, {c}) - 1) / 2.0" if ranked else c
+    return f"SELECT date, CASE WHEN count(*) >= 2 AND min(x) < max(x) AND min(y) < max(y) THEN corr(CAST(x AS DOUBLE), CAST(y AS DOUBLE)) END AS c FROM (SELECT date, {x(a)} AS x, {x(b)} AS y FROM {src} WHERE {a} IS NOT NULL AND {b} IS NOT NULL) GROUP BY date"
+
+
+BUCKET = "SELECT *, CAST(ntile(5) OVER (PARTITION BY date ORDER BY factor, symbol) AS INTEGER) AS bucket FROM pairs WHERE factor IS NOT NULL"
+LEGS = "SELECT date, coalesce(max(turnover) FILTER (bucket = 5), 0) + coalesce(max(turnover) FILTER (bucket = 1), 0) AS t FROM turn GROUP BY date"
+RCH = {"mom": MOM, "pairs": PAIRS, "lagged": LAGGED, "icr": _rank_corr("factor", "fwd"), "qb": BUCKET, "qret": "SELECT date, bucket, avg(fwd) AS ret FROM qb GROUP BY date, bucket", "qw": QW, "turn": TURN, "legs": LEGS}
+SPREAD = "SELECT date, g, t FROM (SELECT date, max(ret) FILTER (bucket = 5) - max(ret) FILTER (bucket = 1) AS g FROM qret GROUP BY date) JOIN legs USING (date) WHERE g IS NOT NULL"
+
+
+def _avg(sql: str) -> str:
+    return f"(SELECT {R('avg(c)')} FROM ({sql}))"
+
+
+@query("report_predictive", oracle(f"""SELECT {R('avg(c)', 'ic_mean')}, {R('stddev_samp(c)', 'ic_std')}, {R('avg(c) / stddev_samp(c)', 'ic_ir')}, {R('avg(CAST(round(c, 9) > 0 AS INT))', 'win_rate')}, count(c) AS periods, count(*) - count(c) AS periods_without,
+  {_avg(_rank_corr('factor', 'fwd', ranked=False))} AS pearson_mean, {', '.join(f"{_avg(_rank_corr(f'f{k}', 'fwd'))} AS stale_{k}" for k in (1, 2, 3, 5))} FROM (SELECT DISTINCT date FROM pairs) LEFT JOIN icr USING (date)""", "panel", **RCH))
+def report_predictive(spark: SparkSession, sf: str) -> DataFrame:
+    p = _report(spark, sf).sections["predictive_power"]
+    return _row(spark, {k: p[k] for k in ("ic_mean", "ic_std", "ic_ir", "win_rate", "periods", "periods_without", "pearson_mean")} | {f"stale_{k}": v for k, v in p["stale"].items()})
+
+
+@query("report_return_risk", oracle(f"""SELECT {R('avg(g)', 'gross')}, {', '.join(R(f'avg(g - {c} * 0.001::DOUBLE * t)', f'net_{c}') for c in (1, 2, 4))}, {R('avg(g - 0.001::DOUBLE * t)', 'aligned')},
+  (SELECT {R('avg(c)')} FROM mono) AS monotonicity, (SELECT count(c) FROM mono) AS monotonicity_dates, {', '.join(f"(SELECT {R('avg(ret)')} FROM qret WHERE bucket = {k}) AS mean_{k}" for k in range(1, 6))} FROM spread""", "panel", **RCH, spread=SPREAD,
+    mono="SELECT date, CASE WHEN count(*) >= 3 AND min(ret) < max(ret) THEN corr(CAST(x AS DOUBLE), CAST(y AS DOUBLE)) END AS c FROM (SELECT *, rank() OVER (PARTITION BY date ORDER BY bucket) AS x, rank() OVER (PARTITION BY date ORDER BY ret) + (count(*) OVER (PARTITION BY date, ret) - 1) / 2.0 AS y FROM qret WHERE ret IS NOT NULL) GROUP BY date"))
+def report_return_risk(spark: SparkSession, sf: str) -> DataFrame:
+    r = _report(spark, sf).sections["return_risk"]
+    net = {f"net_{c:g}": v for c, v in r["net_by_cost"].items()}
+    return _row(spark, {"gross": r["gross"], **net, "aligned": r["aligned"], "monotonicity": r["monotonicity"], "monotonicity_dates": r["monotonicity_dates"]} | {f"mean_{q}": v for q, v in r["bucket_mean"].items()})
+
+
+@query("report_stability", oracle(f"""SELECT {', '.join(f"{_avg(_rank_corr('factor', f'f{k}'))} AS rho_{k}" for k in (1, 2, 3, 5))}, (SELECT CASE WHEN avg(c) > 0 AND avg(c) < 1 THEN {R('ln(0.5) / ln(avg(c))')} END FROM ({_rank_corr('factor', 'f1')})) AS half_life, {R('avg(t)', 'legs_turnover')},
+  {', '.join(R(f'{c} * 0.001::DOUBLE * avg(t) * 252', f'cost_{c}') for c in (1, 2, 4))} FROM (SELECT date, coalesce(t, 0) AS t FROM (SELECT DISTINCT date FROM pairs) LEFT JOIN legs USING (date))""", "panel", **RCH))
+def report_stability(spark: SparkSession, sf: str) -> DataFrame:
+    r = _report(spark, sf).sections["stability_cost"]
+    return _row(spark, {f"rho_{k}": v for k, v in r["rank_autocorrelation"].items()} | {"half_life": r["half_life"], "legs_turnover": r["legs_turnover"]} | {f"cost_{c:g}": v for c, v in r["cost_a_year"].items()})
+
+
+@query("report_purity", oracle(f"""SELECT {_avg(_rank_corr('factor', 'vol', 'both_'))} AS correlation, {R('avg(c)', 'ic_beside')}, {R('avg(c) / stddev_samp(c)', 'incremental_ir')} FROM ({_rank_corr('res', 'fwd', 'resid')})""", "panel", mom=MOM, pairs=PAIRS, ret=RET,
+    both_=f"SELECT p.date, p.symbol, p.factor, v.v AS vol, p.fwd FROM pairs p JOIN (SELECT date, symbol, CASE WHEN count(ret) OVER w >= 20 THEN {R('stddev_samp(ret) OVER w')} END AS v FROM ret WINDOW w AS {win(20)}) v USING (date, symbol)",
+    resid="SELECT b.date, b.symbol, fwd, CASE WHEN n >= 3 AND sxx > 0 THEN floor((factor - my - sxy / sxx * (vol - mx)) * 1e12 + 0.5) / 1e12 END AS res FROM both_ b JOIN (SELECT date, count(*) AS n, avg(factor) AS my, avg(vol) AS mx, covar_pop(factor, vol) AS sxy, var_pop(vol) AS sxx FROM both_ WHERE factor IS NOT NULL AND vol IS NOT NULL GROUP BY date) s USING (date) WHERE factor IS NOT NULL AND vol IS NOT NULL"))
+def report_purity(spark: SparkSession, sf: str) -> DataFrame:
+    r = _report(spark, sf).sections["purity"]
+    return _row(spark, {"correlation": r["correlation"]["vol"], "ic_beside": r["ic_beside"]["vol"], "incremental_ir": r["incremental_ir"]})
+
+
+_LATE = "r >= DATE '1996-01-01'"
+_OOS = ", ".join(R(f"avg(c) FILTER ({when})", name) for name, when in (("train", f"NOT {_LATE}"), ("test", _LATE), ("half_1", f"{_LATE} AND h <= m"), ("half_2", f"{_LATE} AND h > m")))
+
+
+@query("report_oos", oracle(f"""SELECT {_OOS}, count(c) FILTER (NOT {_LATE}) AS train_periods, count(c) FILTER ({_LATE}) AS test_periods, count(*) FILTER (r IS NULL) AS never_realised FROM
+  (SELECT *, row_number() OVER (PARTITION BY {_LATE} ORDER BY date) AS h, count(*) FILTER ({_LATE}) OVER () // 2 AS m FROM (SELECT date, c, lead(date) OVER (ORDER BY date) AS r FROM (SELECT DISTINCT date FROM pairs) LEFT JOIN icr USING (date)))""", "panel", **RCH))
+def report_oos(spark: SparkSession, sf: str) -> DataFrame:
+    r = _report(spark, sf).sections["oos_generalization"]
+    return _row(spark, {k: r[k] for k in ("train", "test", "train_periods", "test_periods", "never_realised")} | {"half_1": r["halves"][0], "half_2": r["halves"][1]})
+
+
+@query("report_coverage", oracle(f"""SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, {R('1 - count(factor) / count(*)', 'factor_missing')}, count(*) FILTER (i <= 21) AS warm_up_rows, {R('1 - count(factor) FILTER (i > 21) / count(*) FILTER (i > 21)', 'factor_missing_after_warm_up')}, {R('1 - count(fwd) / count(*)', 'return_missing')},
+  (SELECT count(c) FROM icr) AS rebalances, (SELECT {R('avg(n)')} FROM sizes) AS size_mean, (SELECT min(n) FROM sizes) AS size_min, (SELECT max(n) FROM sizes) AS size_max, (SELECT {R('median(n)')} FROM sizes) AS size_median, (SELECT date_diff('day', min(date), max(date)) FROM icr WHERE c IS NOT NULL) AS span_days, CAST(2 - count(DISTINCT symbol) FILTER (symbol IN ('P0', 'none')) AS INTEGER) AS dropped
+  FROM (SELECT *, row_number() OVER s AS i FROM pairs {W})""", "panel", **RCH, sizes="SELECT date, count(*) FILTER (factor IS NOT NULL AND fwd IS NOT NULL) AS n FROM pairs GROUP BY date"))
+def report_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    r = _report(spark, sf).sections["data_coverage"]
+    keep = ("rows", "symbols", "factor_missing", "warm_up_rows", "factor_missing_after_warm_up", "return_missing", "rebalances", "size_mean", "size_min", "size_max", "size_median", "span_days", "dropped")
+    return _row(spark, {k: float(r[k]) if k == "size_median" else r[k] for k in keep}).withColumn("dropped", F.col("dropped").cast("int"))
+
+
 @query("eval_report_row")
 def eval_report_row(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole report of momentum against a one-factor book, as one row."""
-    r = ev.evaluate(pairs(spark, sf), "factor", 1, split="1999-01-01", book=["vol"])
-    row = (r["predictive_power"]["mean"], r["predictive_power"]["ir"], r["predictive_power"]["t"], r["return_risk"]["aligned"], r["stability_cost"]["half_life"], r["data_coverage"]["n_eff"], r["verdict"]["decision"])
-    return spark.createDataFrame([row], "ic_mean double, ic_ir double, t double, aligned double, half_life double, n_eff double, decision string")
+    """The verdict, and what it is reached from; its parts have queries with SQL of their own."""
+    r = _report(spark, sf)
+    return _row(spark, {"t": r.inputs.t, "n_eff": r.inputs.n_eff, "icir_low": r.inputs.icir_ci[0] if r.inputs.icir_ci else None, **{k: r.verdict[k] for k in ("predictive", "incremental", "tradable", "decision")}})
 
 
 @query("oos_split", oracle(f"SELECT part, {R('avg(ic)', 'mean')}, {R('avg(ic) / stddev_samp(ic)', 'ir')}, count(ic) AS n FROM (SELECT CASE WHEN realized < DATE '1999-01-01' THEN 'train' ELSE 'test' END AS part, ic FROM (SELECT ic, lead(date) OVER (ORDER BY date) AS realized FROM ic) WHERE realized IS NOT NULL) GROUP BY part", "panel", **SPEAR))

@@ -129,7 +129,7 @@ def run_study(panel: DataFrame, config: StudyConfig = StudyConfig()) -> StudyRes
     orders = orders_for(scores.select("date", "symbol", "score"), adjusted, anchors, holding_returns(adjusted, anchors), config.top_n)
     nav = simulate(orders, Costs(config.fee)).persist()
     rows = nav.orderBy("date").collect()
-    summary = {**perf_of_nav([r["nav"] for r in rows], config.periods_per_year)}
+    summary = {**ev.perf_of_nav([r["nav"] for r in rows], config.periods_per_year)}
     summary |= {"avg_turnover": sum(r["turnover"] for r in rows) / len(rows) if rows else 0.0, "cost_drag": sum(r["cost"] for r in rows), "n_rebalances": len(rows)}
     for f in fs:
         s = ev.ic_summary(ic[f]).first()
@@ -137,22 +137,6 @@ def run_study(panel: DataFrame, config: StudyConfig = StudyConfig()) -> StudyRes
     return StudyResult(config, nav, ic, summary)
 
 
-def perf_of_nav(nav: list[float], periods: int) -> dict[str, float]:
-    """Annual return, volatility, Sharpe and maximum drawdown of a NAV at its rebalances (one value a period)."""
-    import math
-
-    if len(nav) < 2:
-        return {"annual_return": 0.0, "volatility": 0.0, "sharpe": 0.0, "max_drawdown": 0.0}
-    r = [b / a - 1 for a, b in zip(nav, nav[1:], strict=False)]
-    growth, mean = nav[-1] / nav[0], sum(r) / len(r)
-    sd = math.sqrt(sum((x - mean) ** 2 for x in r) / (len(r) - 1)) if len(r) > 1 else 0.0
-    top, worst = nav[0], 0.0
-    for x in nav:
-        top = max(top, x)
-        worst = min(worst, x / top - 1)
-    return {"annual_return": growth ** (periods / len(r)) - 1 if growth > 0 else growth - 1, "volatility": sd * math.sqrt(periods), "sharpe": mean / sd * math.sqrt(periods) if sd > 0 else 0.0, "max_drawdown": worst}
-
-
 def split_holdings(nav: DataFrame, split: str) -> DataFrame:
     """nav (entry, exit, ...) with part: train iff the holding ends before the split, test iff it begins at or after
     it; one that straddles the split has none."""
@@ -167,10 +151,18 @@ def sign_flips(weights: DataFrame, factors: list[str]) -> DataFrame:
     return long.withColumn("_p", F.lag("s").over(w)).groupBy("factor").agg(F.count(F.when(F.col("s") != F.col("_p"), 1)).alias("flips"))
 
 
-def matrix_verdict(cells: list[bool | None]) -> str:
-    """Of a study's independent cells (True: supports, None: no data)."""
-    known = [c for c in cells if c is not None]
-    if not known or len(known) < len(cells) / 2:
+def matrix_verdict(holds: list[bool | None], settled: int | None = None, least: int = 12) -> str:
+    """Of pre-declared hypotheses on one independent cell: each holds if the factor's mean IC has the expected sign in both
+    halves (None, an unknown IC, doesn't). All hold: SUPPORTED; some: PARTIAL; none: NOT SUPPORTED. Under `least` settled
+    rebalances the sample says nothing either way."""
+    if settled is not None and settled < least:
         return "INSUFFICIENT-DATA"
-    share = sum(known) / len(known)
-    return "SUPPORTED" if share == 1 else "NOT SUPPORTED" if share < 0.5 else "PARTIAL"
+    if not holds:
+        return "NO-HYPOTHESES"
+    n = sum(bool(h) for h in holds)
+    return "SUPPORTED" if n == len(holds) else "PARTIAL" if n else "NOT SUPPORTED"
+
+
+def hypothesis_holds(expected: int, train: float | None, test: float | None) -> bool:
+    """Whether both halves' mean ICs are known, not zero, and of the expected sign."""
+    return all(x is not None and x == x and x * expected > 0 for x in (train, test))

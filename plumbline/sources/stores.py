@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import uuid
@@ -24,6 +25,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def upsert(old: DataFrame | None, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Union of both with the latest row of each key by `order`."""
     both = new if old is None else old.unionByName(new)
@@ -33,28 +39,97 @@ def upsert(old: DataFrame | None, new: DataFrame, keys: list[str], order: str) -
 
 @dataclass
 class VersionedTable:
-    """A table that is replaced as a whole: each version is a folder of its own, and a pointer names the current
-    one, so nothing is read and overwritten at once and a failed write leaves the old version in place."""
+    """A table that is replaced as a whole: each version is a folder of its own, and a log names them in order, so
+    nothing is read and overwritten at once. A version counts from the moment that its line is appended to the log; a
+    write that fails before leaves the old one in place. The last `keep` versions stay for those who still read them."""
 
     spark: SparkSession
     path: str
+    keep: int = 2
 
-    def _pointer(self) -> list[str]:
-        return [r.value for r in self.spark.read.text(f"{self.path}/current").collect()] if exists(self.spark, f"{self.path}/current") else []
+    def versions(self) -> list[str]:
+        """Names of the versions, the current one first."""
+        if not exists(self.spark, f"{self.path}/current"):
+            return []
+        rows = self.spark.read.schema("seq long, name string").json(f"{self.path}/current").collect()
+        return [r.name for r in sorted(rows, key=lambda r: (r.seq, r.name), reverse=True)]
 
     def read(self) -> DataFrame | None:
-        at = self._pointer()
+        at = self.versions()
         return self.spark.read.parquet(f"{self.path}/{at[0]}") if at else None
 
     def write(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
-        name = f"v-{uuid.uuid4().hex}"
+        name, before = f"v-{uuid.uuid4().hex}", self.versions()
         df.write.partitionBy(*partition_by).parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
+        self.spark.createDataFrame([(len(before) + 1, name)], "seq long, name string").coalesce(1).write.mode("append").json(f"{self.path}/current")
+        for old in before[self.keep - 1 :]:
+            delete(self.spark, f"{self.path}/{old}")
 
     def upsert(self, new: DataFrame, keys: list[str], order: str, partition_by: tuple[str, ...] = ()) -> None:
         self.write(upsert(self.read(), new, keys, order), partition_by)
 
 
+@dataclass
+class PartitionedTable:
+    """A table in folders by partition columns, of which an upsert rewrites only those that new rows fall in. What they
+    will hold is staged beside the table first, so no folder is read and replaced at once."""
+
+    spark: SparkSession
+    path: str
+    partition_by: tuple[str, ...]
+
+    def read(self) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.path}/data") if exists(self.spark, f"{self.path}/data") else None
+
+    def upsert(self, new: DataFrame, keys: list[str], order: str) -> int:
+        """The number of partitions that were rewritten. Of rows with equal keys the latest by `order` stays."""
+        parts, staged = list(self.partition_by), f"{self.path}/staged-{uuid.uuid4().hex}"
+        touched = [r.asDict() for r in new.select(*parts).distinct().collect()]
+        if not touched:
+            return 0
+        old = self.read()
+        if old is not None:
+            # literals, so that folders are pruned before anything is read
+            hit = functools.reduce(lambda a, b: a | b, [functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in t.items()]) for t in touched])
+            old = old.where(hit).select(*new.columns)
+        upsert(old, new, keys, order).write.parquet(staged)
+        rows = self.spark.read.schema(new.schema).parquet(staged)
+        rows.repartition(*parts).sortWithinPartitions(*parts, *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{self.path}/data")
+        delete(self.spark, staged)
+        return len(touched)
+
+
+BAR_PARTS = ("freq", "year", "month")
+
+
+@dataclass
+class IntradayStore:
+    """Bars (symbol, freq, bar_end, ...) in folders by frequency and month, sorted by symbol within; a range reads only
+    its months, and the symbols reach the files' statistics."""
+
+    spark: SparkSession
+    path: str
+
+    def _table(self) -> PartitionedTable:
+        return PartitionedTable(self.spark, self.path, BAR_PARTS)
+
+    def upsert(self, bars: DataFrame) -> int:
+        """The number of months that were rewritten; of bars with one key the last that was stored stays."""
+        at = bars.withColumns({"year": F.year("bar_end"), "month": F.month("bar_end"), "stored_at": F.current_timestamp()})
+        return self._table().upsert(at, ["symbol", "freq", "bar_end"], "stored_at")
+
+    def read_range(self, symbols: list[str], start: str, end: str, freq: str = "1min") -> DataFrame:
+        """Bars of the days from start to end, both included."""
+        df = self._table().read()
+        if df is None:
+            raise FileNotFoundError(self.path)
+        first, last = (int(x[:4]) * 12 + int(x[5:7]) - 1 for x in (start, end))
+        months = functools.reduce(lambda a, b: a | b, [(F.col("year") == m // 12) & (F.col("month") == m % 12 + 1) for m in range(first, last + 1)], F.lit(False))
+        day = F.to_date("bar_end")
+        out = df.where((F.col("freq") == freq) & months & F.col("symbol").isin(symbols) & (day >= F.to_date(F.lit(start))) & (day <= F.to_date(F.lit(end))))
+        return out.drop("year", "month", "stored_at")
+
+
 @dataclass
 class CoverageLedger:
     """Append-only log of what was fetched; only ok and empty count as covered."""
@@ -80,26 +155,49 @@ class CoverageLedger:
         return self.read().where(F.col("endpoint") == endpoint).groupBy("key").agg(F.max_by("fields_hash", "fetched_at").alias("fields_hash"))
 
 
-def read_through(ledger: CoverageLedger, store: VersionedTable, endpoint: str, requests: DataFrame, fetch: Callable[[DataFrame], DataFrame], keys: list[str], refetch_days: int = 0) -> DataFrame:
+def read_through(ledger: CoverageLedger, store: VersionedTable, endpoint: str, requests: DataFrame, fetch: Callable[[DataFrame], DataFrame], keys: list[str], refetch_days: int = 0, ready_until: str | None = None) -> DataFrame:
     """Fetch only what the ledger lacks (and the last refetch_days of each request), store it, record it, read all.
 
-    fetch: gaps (key, start, end) -> rows with a `key` column. A gap without rows is recorded as empty."""
+    fetch: gaps (key, start, end) -> rows with a `key` column. A gap without rows is recorded as empty; its days after
+    ready_until, which the source may not have yet, as not_ready, and are asked for again."""
     spark = ledger.spark
     gaps = ledger.gaps(endpoint, requests)
     if refetch_days:
         tail = requests.select("key", F.greatest("start", F.date_sub("end", refetch_days - 1)).alias("start"), "end")
         gaps = merge_intervals(gaps.unionByName(tail), ["key"])
     gaps = spark.createDataFrame(gaps.collect(), gaps.schema)  # a request list is small, and must not change under way
+    if ready_until:
+        late = F.to_date(F.lit(ready_until))
+        ready = gaps.where(F.col("start") <= late).withColumn("end", F.least("end", late)).withColumn("late", F.lit(False))
+        gaps = ready.unionByName(gaps.where(F.col("end") > late).withColumn("start", F.greatest("start", F.date_add(late, 1))).withColumn("late", F.lit(True)))
+    else:
+        gaps = gaps.withColumn("late", F.lit(False))
     if not gaps.isEmpty():
-        got = fetch(gaps).withColumn("_at", F.current_timestamp())
-        store.upsert(got, keys, "_at")
-        has = store.read().select("key").distinct().withColumn("_h", F.lit(True))
-        rows = gaps.join(has, "key", "left").select(F.lit(endpoint).alias("endpoint"), "key", "start", "end", F.when(F.col("_h"), "ok").otherwise("empty").alias("status"), F.lit(fields_hash(got.drop("_at").columns)).alias("fields_hash"), F.current_timestamp().alias("fetched_at"))
-        ledger.record(rows)
+        for late in (False, True):
+            part = gaps.where(F.col("late") == late).drop("late")
+            if part.isEmpty():
+                continue
+            got = fetch(part).withColumn("_at", F.current_timestamp()).persist()
+            store.upsert(got, keys, "_at")
+            has = got.select("key").distinct().withColumn("_h", F.lit(True))
+            status = F.when(F.col("_h"), "ok").otherwise("not_ready" if late else "empty")
+            ledger.record(part.join(has, "key", "left").select(F.lit(endpoint).alias("endpoint"), "key", "start", "end", status.alias("status"), F.lit(fields_hash(got.drop("_at").columns)).alias("fields_hash"), F.current_timestamp().alias("fetched_at")))
+            got.unpersist()
     out = store.read()
     return out.drop("_at") if out is not None else out
 
 
+def read_snapshot(ledger: CoverageLedger, store: VersionedTable, endpoint: str, fetch: Callable[[], DataFrame], max_age_days: int, today: str) -> DataFrame:
+    """A table without dates, fetched as a whole if the last successful fetch is more than max_age_days before today."""
+    day = F.to_date(F.lit(today))
+    last = ledger.read().where((F.col("endpoint") == endpoint) & (F.col("status") == "ok")).agg(F.max("end")).first()[0]
+    if last is None or ledger.spark.range(1).select(F.datediff(day, F.lit(last))).first()[0] > max_age_days:
+        got = fetch()
+        store.write(got)
+        ledger.record(ledger.spark.range(1).select(F.lit(endpoint).alias("endpoint"), F.lit("*").alias("key"), day.alias("start"), day.alias("end"), F.lit("ok").alias("status"), F.lit(fields_hash(got.columns)).alias("fields_hash"), F.current_timestamp().alias("fetched_at")))
+    return store.read()
+
+
 def fields_hash(columns: list[str]) -> str:
     return hashlib.sha256(json.dumps(sorted(columns)).encode()).hexdigest()
 

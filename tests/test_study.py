@@ -52,4 +52,6 @@ def test_straddling_holdings_are_in_neither_part(spark):
 
 
 def test_matrix_verdict():
-    assert [P.matrix_verdict(c) for c in ([True, True], [True, False], [False, False, True], [None, None, True], [])] == ["SUPPORTED", "PARTIAL", "NOT SUPPORTED", "INSUFFICIENT-DATA", "INSUFFICIENT-DATA"]
+    assert [P.matrix_verdict(c) for c in ([True, True], [True, False], [False, False, True], [None, None, True], [False, None], [])] == ["SUPPORTED", "PARTIAL", "PARTIAL", "PARTIAL", "NOT SUPPORTED", "NO-HYPOTHESES"]
+    assert P.matrix_verdict([True], settled=11) == "INSUFFICIENT-DATA" and P.matrix_verdict([True], settled=12) == "SUPPORTED"
+    assert [P.hypothesis_holds(*h) for h in ((1, 0.1, 0.2), (1, 0.1, -0.2), (-1, -0.1, -0.2), (1, 0.0, 0.2), (1, None, 0.2), (1, 0.1, float("nan")))] == [True, False, True, False, False, False]
