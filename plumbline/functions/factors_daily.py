@@ -55,4 +55,20 @@ def value_bp() -> Column:
     return inverse_positive(F.col("pb"))
 
 
+@register(FactorSpec("roe", +1, lambda w: 1, ("roe",)))
+def roe() -> Column:
+    """As disclosed: the panel's column comes from the as-of join of disclosures."""
+    return F.col("roe")
+
+
+@register(FactorSpec("netprofit_yoy", +1, lambda w: 1, ("netprofit_yoy",)))
+def netprofit_yoy() -> Column:
+    return F.col("netprofit_yoy")
+
+
+@register(FactorSpec("grossprofit_margin", +1, lambda w: 1, ("grossprofit_margin",)))
+def grossprofit_margin() -> Column:
+    return F.col("grossprofit_margin")
+
+
 STAGED = {"ret": daily_return, "gap": overnight_gap}

@@ -128,3 +128,28 @@ def liquidity(trades: DataFrame, capital: float, share: float = 0.1) -> DataFram
     d = trades.withColumn("direction", F.when(F.col("delta") > 0, "buy").when(F.col("delta") < 0, "sell").otherwise("hold"))
     d = d.withColumn("desired", F.abs("delta") * capital).withColumn("capacity", F.coalesce(F.col("amount"), F.lit(0.0)) * share)
     return d.withColumn("ratio", F.when(F.col("desired") > 0, F.try_divide("capacity", "desired")))
+
+
+def liquidity_diagnostics(trades: DataFrame, capital: float, share: float = 0.1, fee_tolerance: float = 1e-12) -> DataFrame:
+    """trades (date, symbol, current, target, can_buy, can_sell, amount) that want to move, with direction, desired
+    notional, blocked (the direction is not feasible), missing (no amount to measure by), capacity and ratio of those
+    that were inspected."""
+    d = trades.withColumn("delta", F.coalesce("target", F.lit(0.0)) - F.coalesce("current", F.lit(0.0))).where(F.abs("delta") > fee_tolerance)
+    buys = F.col("delta") > 0
+    d = d.withColumn("direction", F.when(buys, "buy").otherwise("sell")).withColumn("desired", F.abs("delta") * capital)
+    d = d.withColumn("blocked", ~F.coalesce(F.when(buys, F.col("can_buy")).otherwise(F.col("can_sell")), F.lit(False)))
+    seen = F.coalesce(F.col("amount") > 0, F.lit(False))
+    d = d.withColumn("missing", ~F.col("blocked") & ~seen).withColumn("capacity", F.when(~F.col("blocked") & seen, F.col("amount") * share))
+    return d.withColumn("ratio", F.try_divide("capacity", "desired"))
+
+
+def liquidity_summary(diagnosed: DataFrame) -> DataFrame:
+    """One row: trades, blocked, missing, inspected, below (ratio under 1), and least, p10, median, p90 of the ratios."""
+    q = F.percentile("ratio", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    s = diagnosed.agg(F.count("*").alias("trades"), F.count_if("blocked").alias("blocked"), F.count_if("missing").alias("missing"), F.count("ratio").alias("inspected"), F.count(F.when(F.col("ratio") < 1, 1)).alias("below"), F.min("ratio").alias("least"), q.alias("_q"))
+    return s.select("trades", "blocked", "missing", "inspected", "below", "least", *[F.col("_q")[i].alias(k) for i, k in enumerate(("p10", "median", "p90"))])
+
+
+def most_constrained(diagnosed: DataFrame, n: int) -> DataFrame:
+    """The n inspected trades of the least ratio; ties by date and symbol. A top-k: no sort of the whole."""
+    return diagnosed.where("ratio IS NOT NULL").orderBy("ratio", "date", "symbol").limit(n)

@@ -80,8 +80,11 @@ def turnover(weights: DataFrame, calendar: DataFrame, keys: list[str] | None = N
 
 @dataclass(frozen=True)
 class Costs:
+    """fee on turnover; cash: what uninvested capital earns a period."""
+
     fee: float = 0.001
     tolerance: float = 1e-9
+    cash: float = 0.0
 
 
 def fill_orders(current: dict[str, float], target: dict[str, float], can_buy: set[str], can_sell: set[str], tol: float = 1e-9) -> tuple[dict[str, float], float]:
@@ -105,7 +108,7 @@ def simulate(orders: DataFrame, costs: Costs = Costs(), strategy: str = "strateg
     """NAV of each strategy, stateful: orders (strategy, date, symbol, target, can_buy, can_sell, ret).
 
     Positions carry over from one rebalance to the next and don't drift; a missing target is 0, a missing return
-    earns nothing, a missing flag forbids. One group is one strategy's rebalances, which are few and small;
+    earns nothing, a missing flag forbids, what isn't invested earns the cash return. One group is one strategy's rebalances, which are few and small;
     strategies run side by side."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -116,7 +119,7 @@ def simulate(orders: DataFrame, costs: Costs = Costs(), strategy: str = "strateg
             flags = [{s for s, f in zip(g["symbol"], g[c], strict=True) if f is True or f == 1} for c in ("can_buy", "can_sell")]
             held, moved = fill_orders(held, target, *flags, tol=costs.tolerance)
             ret = {s: float(r) for s, r in zip(g["symbol"], g["ret"], strict=True) if r == r and r is not None}
-            gross = sum(w * ret.get(s, 0.0) for s, w in sorted(held.items()))
+            gross = sum(w * ret.get(s, 0.0) for s, w in sorted(held.items())) + (1.0 - sum(w for _, w in sorted(held.items()))) * costs.cash
             cost = moved * costs.fee
             nav *= 1 + gross - cost
             out.append((pdf[strategy].iloc[0], date, gross, cost, moved, gross - cost, nav, len(held)))

@@ -94,6 +94,54 @@ def exec_holding_returns(prices: DataFrame, anchors: DataFrame) -> DataFrame:
     return holding_returns(prices.withColumn("_p", F.col("price") * F.col("adj_factor")), anchors, "_p")
 
 
+def limit_coverage(required: DataFrame, limits: DataFrame) -> DataFrame:
+    """One row: how many required (date, symbol) have a row of raw price limits: required, present, missing."""
+    keys = ["date", "symbol"]
+    there = limits.where("up_limit IS NOT NULL OR down_limit IS NOT NULL").select(*keys).distinct().withColumn("_l", F.lit(True))
+    j = required.select(*keys).distinct().join(there, keys, "left")
+    return j.agg(F.count("*").alias("required"), F.count("_l").alias("present"), F.count(F.when(F.col("_l").isNull(), 1)).alias("missing"))
+
+
+def tail_events(anchors: DataFrame, symbols: DataFrame, bars: DataFrame, limits: DataFrame | None = None, require_coverage: bool = True, tol: float = 1e-6) -> DataFrame:
+    """(date, symbol, price, adj_factor, bar_missing, at_up, at_down, can_buy, can_sell, ret) at each entry: what a
+    rebalance in the day's tail may trade, and what it earns from execution to execution, adjusted at both ends.
+
+    bars: (date, symbol, price, adj_factor), raw execution prices. Without a bar neither side trades; at the upper limit
+    none buys, at the lower none sells. A price at an entry without a row of limits raises, unless coverage isn't required
+    (then nothing stops it): a missing row must not pass for a check that was made. limits None: no check is asked for."""
+    at = anchors.select(F.col("entry").alias("date")).distinct().crossJoin(F.broadcast(symbols.select("symbol").distinct()))
+    e = at.join(bars.select("date", "symbol", "price", "adj_factor"), ["date", "symbol"], "left")
+    if limits is not None:
+        if require_coverage and (lacks := limit_coverage(e.where("price > 0"), limits).first()["missing"]):
+            raise ValueError(f"{lacks} entries have a price but no raw price limits")
+        e = e.join(limits.select("date", "symbol", "up_limit", "down_limit"), ["date", "symbol"], "left")
+    else:
+        e = e.withColumns({"up_limit": F.lit(None).cast("double"), "down_limit": F.lit(None).cast("double")})
+    p = F.col("price")
+    buy, sell = execution_feasibility(p, F.col("up_limit"), F.col("down_limit"), tol)
+    seen = F.coalesce(p > 0, F.lit(False))
+    up, down = seen & F.coalesce(p >= F.col("up_limit") - tol, F.lit(False)), seen & F.coalesce(p <= F.col("down_limit") + tol, F.lit(False))
+    e = e.select("date", "symbol", "price", "adj_factor", (~seen).alias("bar_missing"), up.alias("at_up"), down.alias("at_down"), buy.alias("can_buy"), sell.alias("can_sell"))
+    return e.join(exec_holding_returns(bars, anchors), ["date", "symbol"], "left")
+
+
+def event_counts(events: DataFrame) -> DataFrame:
+    """(date, names, no_bar, up_blocked, down_blocked, both_ways) of tail_events, by entry."""
+    n = lambda c: F.count_if(c)
+    return events.groupBy("date").agg(
+        F.count("*").alias("names"), n(F.col("bar_missing")).alias("no_bar"), n(F.col("at_up")).alias("up_blocked"), n(F.col("at_down")).alias("down_blocked"), n(F.col("can_buy") & F.col("can_sell")).alias("both_ways")
+    )
+
+
+def derive_cell_config(base: StudyConfig, overrides: dict) -> StudyConfig:
+    """A cell of the study matrix: the base with some settings replaced, checked anew."""
+    from dataclasses import replace
+
+    if bad := set(overrides) - {f.name for f in fields(StudyConfig)}:
+        raise ValueError(f"unknown settings {sorted(bad)}")
+    return replace(base, **overrides)
+
+
 def orders_for(scores: DataFrame, panel: DataFrame, anchors: DataFrame, returns: DataFrame, top_n: int, strategy: Column | None = None) -> DataFrame:
     """What simulate() takes: targets of the best scores at each entry, with flags and returns of every symbol there."""
     at = panel.join(F.broadcast(anchors.select(F.col("entry").alias("date"))), "date")
@@ -127,7 +175,7 @@ def run_study(panel: DataFrame, config: StudyConfig = StudyConfig()) -> StudyRes
         scores = weighted_score(done, ic_weights(table, fs, config.periods[0]), fs)
     anchors = monthly_anchors(adjusted.select("date").distinct()).persist()
     orders = orders_for(scores.select("date", "symbol", "score"), adjusted, anchors, holding_returns(adjusted, anchors), config.top_n)
-    nav = simulate(orders, Costs(config.fee)).persist()
+    nav = simulate(orders, Costs(config.fee, cash=config.cash_return)).persist()
     rows = nav.orderBy("date").collect()
     summary = {**ev.perf_of_nav([r["nav"] for r in rows], config.periods_per_year)}
     summary |= {"avg_turnover": sum(r["turnover"] for r in rows) / len(rows) if rows else 0.0, "cost_drag": sum(r["cost"] for r in rows), "n_rebalances": len(rows)}

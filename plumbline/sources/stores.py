@@ -287,17 +287,33 @@ class FactorValueStore:
     def table(self, factor: str, params: dict, version: str, view: str) -> VersionedTable:
         return VersionedTable(self.spark, f"{self.root}/{factor_key(factor, params, version, view)}")
 
+    def read_valid(self, key: tuple[str, dict, str, str]) -> DataFrame | None:
+        """What is stored, or None: a table that is absent, can't be read, or lacks a column is a miss."""
+        from py4j.protocol import Py4JJavaError
+        from pyspark.errors import PySparkException
+
+        try:
+            have = self.table(*key).read()
+            if have is None or not {"date", "symbol", "value"} <= set(have.columns):
+                return None
+            have.agg(F.count("date")).first()
+            return have
+        except (PySparkException, Py4JJavaError):
+            return None
+
     def serve(self, key: tuple[str, dict, str, str], wanted: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Values of wanted (date, symbol): stored ones, and the missing cells computed once, stored and added."""
-        t = self.table(*key)
-        have = t.read()
-        lack = wanted.select("date", "symbol").distinct()
+        t, cells = self.table(*key), ["date", "symbol"]
+        have = self.read_valid(key)
+        lack = wanted.select(*cells).distinct()
         if have is not None:
-            lack = lack.join(have.select("date", "symbol"), ["date", "symbol"], "left_anti")
+            lack = lack.join(have.select(*cells), cells, "left_anti")
+        elif lack.isEmpty():
+            return wanted.select(*cells).join(compute(lack).select(*cells, "value"), cells, "left")
         if not lack.isEmpty():
-            new = lack.join(compute(lack).select("date", "symbol", "value"), ["date", "symbol"], "left").withColumn("at", F.current_timestamp())
-            t.upsert(new, ["date", "symbol"], "at")
-        return wanted.select("date", "symbol").join(t.read().select("date", "symbol", "value"), ["date", "symbol"], "left")
+            new = lack.join(compute(lack).select(*cells, "value"), cells, "left").withColumn("at", F.current_timestamp())
+            t.write(upsert(have, new, cells, "at"))
+        return wanted.select(*cells).join(t.read().select(*cells, "value"), cells, "left")
 
     def invalidate(self, key: tuple[str, dict, str, str], symbols: DataFrame) -> None:
         """Forget the symbols, as after an adjustment of their prices."""
