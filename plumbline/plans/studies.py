@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,8 +14,10 @@ from ..operators import bars as B
 from ..operators import pit, portfolio, xsection
 from ..operators import studies as st
 from ..operators.evaluation import information_coefficient
-from ..sources import harness
+from ..sources import harness, stores
 from ..sources.harness import oracle
+from ..session import work_dir
+from . import pipeline
 from .daily import MOM, R, W
 from .evaluation import BOTH, IC, PAIRS, QB, TURN, pairs
 from .minute import CL, DAYS, V, visible
@@ -121,3 +125,60 @@ def stale_ic_decay(spark: SparkSession, sf: str) -> DataFrame:
         one = ic.agg(round6(F.avg("ic")).alias("mean"), F.count("ic").alias("n")).select(F.lit(k).alias("lag"), "mean", "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+ANCHORS = "SELECT * FROM (SELECT entry, coalesce(lead(entry) OVER (ORDER BY entry), (SELECT max(date) FROM panel)) AS exit FROM (SELECT max(date) AS entry FROM panel GROUP BY date_trunc('month', date))) WHERE exit > entry"
+EVENTS = """SELECT an.entry AS date, s.symbol, NOT coalesce(a.price > 0, false) AS gone, coalesce(a.price > 0 AND a.price >= a.high - 1e-6, false) AS up, coalesce(a.price > 0 AND a.price <= a.low + 1e-6, false) AS down,
+  CASE WHEN a.symbol IS NOT NULL THEN CASE WHEN a.adj IS NOT NULL AND b.adj IS NOT NULL AND a.adj <> 0 THEN b.adj / a.adj - 1 ELSE 0 END END AS ret FROM an CROSS JOIN (SELECT DISTINCT symbol FROM panel) s
+  LEFT JOIN px a ON a.date = an.entry AND a.symbol = s.symbol LEFT JOIN px b ON b.date = an.exit AND b.symbol = s.symbol"""
+PX = "SELECT date, symbol, high, low, amount, amount / nullif(volume, 0) AS price, amount / nullif(volume, 0) * adj_factor AS adj FROM panel"
+EV = {"an": ANCHORS, "px": PX, "ev": EVENTS}
+
+
+def _tail(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(events, panel): trading at the month's last day's average price, with the day's extremes as its limits."""
+    panel = harness.panel_daily(spark, sf).withColumn("price", F.try_divide("amount", "volume"))
+    anchors = portfolio.monthly_anchors(panel.select("date").distinct())
+    limits = panel.select("date", "symbol", F.col("high").alias("up_limit"), F.col("low").alias("down_limit"))
+    return pipeline.tail_events(anchors, panel, panel.select("date", "symbol", "price", "adj_factor"), limits), panel
+
+
+@query("tail_event_counts", oracle(f"SELECT date, count(*) AS names, count(*) FILTER (gone) AS no_bar, count(*) FILTER (up) AS up_blocked, count(*) FILTER (down) AS down_blocked, count(*) FILTER (NOT gone AND NOT up AND NOT down) AS both_ways, {R('avg(ret)', 'mean_ret')} FROM ev GROUP BY date", "panel", **EV))
+def tail_event_counts(spark: SparkSession, sf: str) -> DataFrame:
+    e, _ = _tail(spark, sf)
+    return pipeline.event_counts(e).join(e.groupBy("date").agg(round6(F.avg("ret")).alias("mean_ret")), "date")
+
+
+PLANS = "SELECT *, CASE WHEN d > 0 THEN up ELSE down END OR gone AS blocked FROM (SELECT ev.*, px.amount, (month(ev.date) + substr(ev.symbol, 7)::INT) % 4 * 0.1::DOUBLE - substr(ev.symbol, 7)::INT % 3 * 0.1::DOUBLE AS d FROM ev LEFT JOIN px ON px.date = ev.date AND px.symbol = ev.symbol) WHERE abs(d) > 1e-12"
+RATIO = "SELECT *, NOT blocked AND NOT coalesce(amount > 0, false) AS missing, CASE WHEN NOT blocked AND amount > 0 THEN amount * 0.1::DOUBLE / (abs(d) * 1000000.0::DOUBLE) END AS ratio FROM plans"
+
+
+def _diagnosed(spark: SparkSession, sf: str) -> DataFrame:
+    e, panel = _tail(spark, sf)
+    k = F.substring("symbol", 7, 9).cast("int")
+    plan = e.select("date", "symbol", "can_buy", "can_sell", (k % 3 * 0.1).alias("current"), ((F.month("date") + k) % 4 * 0.1).alias("target"))
+    return B.liquidity_diagnostics(plan.join(panel.select("date", "symbol", "amount"), ["date", "symbol"], "left"), 1_000_000.0)
+
+
+@query("liquidity_summary", oracle(f"SELECT count(*) AS trades, count(*) FILTER (blocked) AS blocked, count(*) FILTER (missing) AS missing, count(ratio) AS inspected, count(*) FILTER (ratio < 1) AS below, {R('min(ratio)', 'least')}, {R('quantile_cont(ratio, 0.1)', 'p10')}, {R('quantile_cont(ratio, 0.5)', 'median')}, {R('quantile_cont(ratio, 0.9)', 'p90')} FROM ratios", "panel", **EV, plans=PLANS, ratios=RATIO))
+def liquidity_summary(spark: SparkSession, sf: str) -> DataFrame:
+    s = B.liquidity_summary(_diagnosed(spark, sf))
+    return s.select("trades", "blocked", "missing", "inspected", "below", *[round6(F.col(c)).alias(c) for c in ("least", "p10", "median", "p90")])
+
+
+@query("most_constrained", oracle(f"SELECT date, symbol, CASE WHEN d > 0 THEN 'buy' ELSE 'sell' END AS direction, {R('ratio', 'ratio')} FROM (SELECT * FROM ratios WHERE ratio IS NOT NULL ORDER BY ratio, date, symbol LIMIT 20)", "panel", **EV, plans=PLANS, ratios=RATIO))
+def most_constrained(spark: SparkSession, sf: str) -> DataFrame:
+    """A report of the twenty trades that their bar's volume holds back most."""
+    return B.most_constrained(_diagnosed(spark, sf), 20).select("date", "symbol", "direction", round6(F.col("ratio")).alias("ratio"))
+
+
+@query("upsert_partitions", oracle("SELECT symbol, freq, bar_end, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol, bar_end ORDER BY k DESC) AS i FROM (SELECT symbol, '15min' AS freq, bar_end, round(close * 100) / 100 AS close, 0 AS k FROM bars UNION ALL SELECT symbol, '15min', bar_end, 0.0, 1 FROM bars WHERE day(trade_date) = 5)) WHERE i = 1", "bars"))
+def upsert_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars stored by month, then a revision of one day of a month upserted; what a range over all of it reads."""
+    bars = harness.bars(spark, sf).select("symbol", F.lit("15min").alias("freq"), "bar_end", F.round("close", 2).alias("close"), "trade_date")
+    store = stores.IntradayStore(spark, f"{work_dir(spark)}/bars-{uuid.uuid4().hex}")
+    store.upsert(bars.drop("trade_date"))
+    store.upsert(bars.where(F.dayofmonth("trade_date") == 5).withColumn("close", F.lit(0.0)).drop("trade_date"))
+    days = bars.agg(F.to_date(F.min("bar_end")), F.to_date(F.max("bar_end"))).first()
+    names = [r[0] for r in bars.select("symbol").distinct().collect()]
+    return store.read_range(names, str(days[0]), str(days[1]), "15min").select("symbol", "freq", "bar_end", "close")
