@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import work_dir as shared_dir
+
 #: Words after A-Z are lower-cased: digits, a-z and every character beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What lies between words.
@@ -38,19 +39,6 @@ def once(x, f):
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or what setCheckpointDir() was given.
-    Where neither is set, a local session gets a folder of its own; on a cluster that would be lost data, and raises."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="plumbline-"))
-        at = sc.getCheckpointDir()
-    return at.rstrip("/")
-
-
 _owner: ContextVar[list[Scratch] | None] = ContextVar("owner", default=None)
 
 
