@@ -201,3 +201,56 @@ def liquidity_capacity(spark: SparkSession, sf: str) -> DataFrame:
     q = F.percentile("ratio", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
     s = t.groupBy("direction").agg(F.count("*").alias("n"), F.min("ratio").alias("least"), q.alias("q"))
     return s.select("direction", "n", round6(F.col("least")).alias("least"), *[round6(F.col("q")[i]).alias(c) for i, c in enumerate(("p10", "median", "p90"))])
+
+
+# the factors with the least counts of production, over whole sessions of one-minute bars
+
+
+def dense(spark: SparkSession, sf: str) -> DataFrame:
+    return pit.visible_bars(harness.dense_bars(spark, sf), CUT)
+
+
+PCLS = CLS.format(us=60_000_000).replace("n >= 5", "n >= 10").replace("BETWEEN 10 PRECEDING", "BETWEEN 20 PRECEDING")
+PV = {"v": VIS.format(t="dense"), "cls": PCLS, "days": DAYS}
+
+
+def production(name: str, build, *swaps: tuple[str, str]) -> None:
+    """A query of the factor with its defaults; its SQL is that of the query above with other counts and bars."""
+    sql = ORACLE[name]
+    for t in ("bars", "wide"):
+        sql = sql.replace(harness.CTES[t], harness.CTES["dense"])
+    for old, new in swaps:
+        if old not in sql:
+            raise ValueError(f"{name}: the SQL lacks {old!r}")
+        sql = sql.replace(old, new)
+    QUERIES[f"{name}_1min"] = lambda spark, sf: out(build(dense(spark, sf)))
+    ORACLE[f"{name}_1min"] = sql
+
+
+for _name, _f, _value, _valid in (
+    ("volume_peak_count", fm.volume_peak_count, "CAST(sum(n_peak) OVER f AS DOUBLE)", "n_class >= 100"),
+    ("valley_relative_vwap", fm.valley_relative_vwap, "avg((a_valley / v_valley) / (a_day / v_day)) OVER f", "k_valley >= 20"),
+    ("valley_ridge_vwap_ratio", fm.valley_ridge_vwap_ratio, "avg((a_valley / v_valley) / (a_ridge / v_ridge)) OVER f", "k_valley >= 20 AND k_ridge >= 10"),
+    ("ridge_minute_return", fm.ridge_minute_return, "sum(r_ridge) OVER f", "k_rr >= 10"),
+    ("peak_ridge_amount_ratio", fm.peak_ridge_amount_ratio, "sum(a_peak) OVER f / sum(a_ridge) OVER f", "k_peak >= 5 AND k_ridge >= 10"),
+):
+    QUERIES[f"{_name}_1min"] = lambda spark, sf, f=_f: out(f(fm.class_days(dense(spark, sf))))
+    ORACLE[f"{_name}_1min"] = oracle(f"SELECT symbol, trade_date, {R('value', 'value')} FROM r", "dense", **PV, r=rolled(_value, _valid, 20, 10))
+
+_CLASSES = (("= 900000000", "= 60000000"), ("n >= 5 AND s", "n >= 10 AND s"), ("BETWEEN 10 PRECEDING", "BETWEEN 20 PRECEDING"))
+production("jump_amount_corr", fm.jump_amount_corr, ("n >= 5 AND sx", "n >= 10 AND sx"), ("gap = 900000000", "gap = 60000000"))
+production("minute_ideal_amp", fm.minute_ideal_amp, (">= 50 THEN", ">= 1150 THEN"))
+production("amp_marginal_anomaly_vol", fm.amp_marginal_anomaly_vol, (">= 30 AND", ">= 460 AND"), (">= 3 THEN", ">= 20 THEN"), ("c.k - 9 AND", "c.k - 19 AND"))
+production("intraday_amp_cut", fm.intraday_amp_cut, ("OVER d >= 5", "OVER d >= 10"), ("n >= 5 GROUP", "n >= 100 GROUP"), ("OVER f >= 3", "OVER f >= 6"))
+production("mmp_ew", fm.mmp_ew, ("cv >= 5", "cv >= 20"), ("BETWEEN 5 PRECEDING", "BETWEEN 20 PRECEDING"), ("0.01::DOUBLE", "1e-12::DOUBLE"))
+production("session_ret", fm.intraday_ret)
+production("peak_interval_kurtosis", fm.peak_interval_kurtosis, *_CLASSES, ("0.1 * s", "1.0 * s"), ("FILTER (cl) >= 5", "FILTER (cl) >= 100"), ("days >= 3 AND n >= 4", "days >= 10 AND n >= 20"))
+
+
+def _quantile_1min(bars: DataFrame) -> DataFrame:
+    days = fm.class_days(bars)
+    w = Window.partitionBy("symbol").orderBy("trade_date")
+    return fm.valley_price_quantile(days, days.select("symbol", "trade_date", (-(F.try_divide("last_close", F.lag("last_close", 20).over(w)) - 1)).alias("reversal")))
+
+
+production("valley_price_quantile", _quantile_1min, ("= 3600000000", "= 60000000"), *_CLASSES[1:], ("k_valley >= 2", "k_valley >= 20"), ("BETWEEN 4 PRECEDING", "BETWEEN 19 PRECEDING"), ("OVER f >= 2", "OVER f >= 10"), ("OVER d >= 5", "OVER d >= 10"), ("lag(last_close, 2)", "lag(last_close, 20)"))

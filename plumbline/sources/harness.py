@@ -71,6 +71,26 @@ def bars(spark: SparkSession, sf_dir: str, minutes: int = 15, wide: bool = False
     )
 
 
+#: Days of dense_bars, and minutes of a day's two sessions (the first bar ends at 09:31, the last at 15:00).
+DENSE_DAYS, DENSE_MINUTES = 30, 240
+
+
+def dense_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-minute bars of whole sessions, of the columns of bars(): one symbol for each nation, figures by whole-number
+    arithmetic. As dense as real ones, so that the factors' own least counts are met."""
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    days = n.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DENSE_DAYS - 1).cast("long"))))
+    t = days.withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DENSE_MINUTES - 1).cast("long"))))
+    t = t.selectExpr("*", "(k * 7919 + d * 104729 + m * 1299709 + m * m * 31 + k * m * 17 + d * m * 13) % 1000 AS u", "(k * 131 + d * 2713 + m * 7717 + m * m * 7 + d * d * 11 + k * d * m * 3) % 1000 AS w")
+    t = t.selectExpr("*", "50 + k + (u % 97) / 10D AS open", "50 + k + (w % 101) / 10D AS close", "cast(100 + u + if(w < 60, 3000, 0) AS double) AS volume", "cast(if(m < 120, 571, 661) + m AS int) AS slot")
+    t = t.withColumn("e", F.lit(1_704_067_200) + F.col("d") * 86_400 + F.col("slot") * 60)
+    stamp = lambda s: F.timestamp_seconds(s).cast("timestamp_ntz")
+    return t.select(
+        F.to_date(stamp(F.col("e") - 1)).alias("trade_date"), F.concat(F.lit("N"), F.col("k").cast("string")).alias("symbol"), stamp(F.col("e") - 60).alias("bar_start"), stamp(F.col("e")).alias("bar_end"), stamp(F.col("e") + 60).alias("available_time"), "slot",
+        "open", (F.greatest("open", "close") + F.col("u") % 13 / 10.0).alias("high"), (F.least("open", "close") - F.col("w") % 11 / 10.0).alias("low"), "close", "volume", (F.col("volume") * F.col("close")).alias("amount"),
+    )
+
+
 _ROW = ", ".join(ORDER)
 CTES: dict[str, str] = {
     "panel": f"""SELECT CAST(l_shipdate AS DATE) AS date, p_brand AS symbol, first(l_extendedprice / l_quantity ORDER BY {_ROW}) AS open, max(l_extendedprice / l_quantity) AS high,
@@ -90,6 +110,11 @@ for _name, _step, _symbol in (("bars", 900, "event_type"), ("wide", 3600, "'U' |
   CAST(sum(k) AS DOUBLE) AS volume, CAST(sum(CAST(round(value * 100) AS BIGINT) * k) AS DOUBLE) / 100.0 AS amount
   FROM (SELECT *, {_symbol} AS symbol, CAST(ceil(epoch_us(ts) / 1e6 / {_step}) AS BIGINT) * {_step} AS e, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE value IS NOT NULL) GROUP BY symbol, e"""
 
+CTES["dense"] = f"""SELECT CAST(make_timestamp((e - 1) * 1000000) AS DATE) AS trade_date, 'N' || k AS symbol, make_timestamp((e - 60) * 1000000) AS bar_start, make_timestamp(e * 1000000) AS bar_end, make_timestamp((e + 60) * 1000000) AS available_time, CAST(slot AS INTEGER) AS slot,
+  open, greatest(open, close) + u % 13 / 10.0::DOUBLE AS high, least(open, close) - w % 11 / 10.0::DOUBLE AS low, close, volume, volume * close AS amount FROM (SELECT *, 50 + k + (u % 97) / 10.0::DOUBLE AS open, 50 + k + (w % 101) / 10.0::DOUBLE AS close, CAST(100 + u + CASE WHEN w < 60 THEN 3000 ELSE 0 END AS DOUBLE) AS volume, 1704067200 + d * 86400 + slot * 60 AS e
+  FROM (SELECT *, (k * 7919 + d * 104729 + m * 1299709 + m * m * 31 + k * m * 17 + d * m * 13) % 1000 AS u, (k * 131 + d * 2713 + m * 7717 + m * m * 7 + d * d * 11 + k * d * m * 3) % 1000 AS w, m + CASE WHEN m < 120 THEN 571 ELSE 661 END AS slot
+  FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation), (SELECT unnest(range(0, {DENSE_DAYS})) AS d), (SELECT unnest(range(0, {DENSE_MINUTES})) AS m)))"""
+
 
 def oracle(final: str, *names: str, **more: str) -> str:
     """WITH the named derivations and more of them, in order, then final."""
