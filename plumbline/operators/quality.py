@@ -88,16 +88,38 @@ def compare_cells(left: DataFrame, right: DataFrame, keys: list[str], value: str
     return j.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-def classify_differences(left: DataFrame, right: DataFrame, keys: list[str], value: str, exact: float = 1e-12, tail: float = 1e-9) -> DataFrame:
+def classify_differences(left: DataFrame, right: DataFrame, keys: list[str], value: str, exact: float = 1e-12, tail: float = 1e-9, flip: float | None = None) -> DataFrame:
     """(keys, class) of every key: equal, within_exact, float_tail, warmup_extension (only right knows it),
-    vanished (only left knows it) or unclassified."""
+    vanished (only left knows it) or unclassified. flip: of a factor that counts, whole-numbered values that differ by
+    that many at most are threshold_flip, as when rounding moves one event over its threshold."""
     j = left.select(*keys, F.col(value).alias("_a")).join(right.select(*keys, F.col(value).alias("_b")), keys, "full")
     rel = F.abs(F.col("_a") - F.col("_b")) / F.greatest(F.abs("_a"), F.abs("_b"), F.lit(1e-300))
     kind = (
         F.when(F.col("_a").eqNullSafe(F.col("_b")), "equal").when(F.col("_a").isNull(), "warmup_extension").when(F.col("_b").isNull(), "vanished")
-        .when(rel <= exact, "within_exact").when(rel <= tail, "float_tail").otherwise("unclassified")
+        .when(rel <= exact, "within_exact").when(rel <= tail, "float_tail")
     )
-    return j.select(*keys, kind.alias("class"))
+    if flip is not None:
+        whole = (F.col("_a") == F.floor("_a")) & (F.col("_b") == F.floor("_b"))
+        kind = kind.when(whole & (F.abs(F.col("_a") - F.col("_b")) <= flip), "threshold_flip")
+    return j.select(*keys, kind.otherwise("unclassified").alias("class"))
+
+
+def capped_classes(classified: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """(class, n, cap, ok): how often each class occurs against what it may; equal and within_exact are free, a class
+    without a cap may not occur."""
+    n = classified.groupBy("class").agg(F.count("*").alias("n"))
+    cap = F.create_map(*[F.lit(x) for k, v in caps.items() for x in (k, v)]) if caps else F.create_map().cast("map<string,int>")
+    free = F.col("class").isin("equal", "within_exact")
+    limit = F.when(~free, F.coalesce(F.try_element_at(cap, F.col("class")), F.lit(0)).cast("long"))
+    return n.select("class", "n", limit.alias("cap"), F.coalesce(F.col("n") <= limit, F.lit(True)).alias("ok"))
+
+
+def against_anchors(df: DataFrame, anchors: DataFrame, keys: list[str], value: str, tol: float = 1e-9) -> DataFrame:
+    """anchors (keys, value), written down by hand, with what df holds there (actual) and ok: both absent, or within tol
+    of each other, relative to the larger."""
+    j = anchors.select(*keys, F.col(value).alias("expected")).join(df.select(*keys, F.col(value).alias("actual")), keys, "left")
+    near = F.abs(F.col("expected") - F.col("actual")) <= tol * F.greatest(F.abs("expected"), F.abs("actual"), F.lit(1.0))
+    return j.withColumn("ok", F.coalesce(near, F.col("expected").isNull() & F.col("actual").isNull()))
 
 
 def content_hash(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

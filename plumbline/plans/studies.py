@@ -20,7 +20,7 @@ from ..session import work_dir
 from . import pipeline
 from .daily import MOM, R, W
 from .evaluation import BOTH, IC, PAIRS, QB, TURN, pairs
-from .minute import CL, DAYS, V, visible
+from .minute import CL, DAYS, PV, V, dense, visible
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -182,3 +182,35 @@ def upsert_partitions(spark: SparkSession, sf: str) -> DataFrame:
     days = bars.agg(F.to_date(F.min("bar_end")), F.to_date(F.max("bar_end"))).first()
     names = [r[0] for r in bars.select("symbol").distinct().collect()]
     return store.read_range(names, str(days[0]), str(days[1]), "15min").select("symbol", "freq", "bar_end", "close")
+
+
+SANE = "SELECT date, symbol, price, adj_factor AS f, lead(date) OVER s AS ed, lead(price) OVER s AS ep, lead(adj_factor) OVER s AS ef, lead(price * adj_factor) OVER s / nullif(price * adj_factor, 0) - 1 AS fwd FROM (SELECT *, amount / nullif(volume, 0) AS price FROM panel) WINDOW s AS (PARTITION BY symbol ORDER BY date)"
+
+
+def _pairs_of_execution(spark: SparkSession, sf: str) -> DataFrame:
+    p = harness.panel_daily(spark, sf).select("date", "symbol", F.try_divide("amount", "volume").alias("price"), "adj_factor")
+    w = Window.partitionBy("symbol").orderBy("date")
+    paid = F.col("price") * F.col("adj_factor")
+    return st.execution_pairs(p.withColumn("fwd", F.try_divide(F.lead(paid).over(w), paid) - 1))
+
+
+@query("execution_moments", oracle(f"SELECT 'fwd' AS series, count(fwd) AS n, {R('avg(fwd)', 'mean')}, {R('stddev_samp(fwd)', 'std')}, {R('min(fwd)', 'least')}, {R('quantile_cont(fwd, 0.5)', 'median')}, {R('max(fwd)', 'most')} FROM sane", "panel", sane=SANE))
+def execution_moments(spark: SparkSession, sf: str) -> DataFrame:
+    return st.moments(_pairs_of_execution(spark, sf), ["fwd"]).select("series", "n", *[round6(F.col(c)).alias(c) for c in ("mean", "std", "least", "median", "most")])
+
+
+@query("ex_date_pairs", oracle(f"SELECT date, symbol, ed AS exit_date, {R('f', 'adj_factor')}, {R('ef', 'exit_adj')}, {R('fwd', 'fwd')}, {R('ep / price - 1', 'unadjusted')} FROM sane WHERE fwd IS NOT NULL AND f <> ef", "panel", sane=SANE))
+def ex_date_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return st.ex_date_pairs(_pairs_of_execution(spark, sf)).select("date", "symbol", "exit_date", *[round6(F.col(c)).alias(c) for c in ("adj_factor", "exit_adj", "fwd", "unadjusted")])
+
+
+@query("ridge_coverage", oracle(f"""SELECT count(*) AS rows, count(*) FILTER (k_ridge >= 10 AND k_valley >= 20 AND n_class >= 100) AS valid, count(*) FILTER (n_class >= 100) AS classifiable, count(*) FILTER (k_ridge < 10) AS failed_ridge, count(*) FILTER (k_valley < 20) AS failed_valley, count(*) FILTER (n_class < 100) AS failed_classifiable,
+  count(*) FILTER (k_ridge >= 20 AND k_valley >= 20 AND n_class >= 100) AS valid_at_valley_gate, {R('quantile_cont(k_valley, 0.5)', 'valley_median')}, {R('quantile_cont(k_ridge, 0.5) FILTER (k_ridge >= 10 AND k_valley >= 20 AND n_class >= 100)', 'p50')}, {R('count(*) FILTER (k_ridge >= 10 AND k_valley >= 20 AND n_class >= 100) / count(*) FILTER (n_class >= 100)', 'rate_of_classifiable')} FROM days""", "dense", **PV))
+def ridge_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    c = st.ridge_coverage(fm.class_days(dense(spark, sf)))
+    return c.select("rows", "valid", "classifiable", "failed_ridge", "failed_valley", "failed_classifiable", "valid_at_valley_gate", *[round6(F.col(k)).alias(k) for k in ("valley_median", "p50", "rate_of_classifiable")])
+
+
+@query("peak_coverage", oracle(f"SELECT count(*) AS rows, count(*) FILTER (k_peak >= 5 AND k_ridge >= 10 AND n_class >= 100) AS valid, count(*) FILTER (k_peak < 5) AS failed_peak, {R('quantile_cont(k_peak, 0.5) FILTER (k_peak >= 5 AND k_ridge >= 10 AND n_class >= 100)', 'p50')} FROM days", "dense", **PV))
+def peak_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return st.peak_coverage(fm.class_days(dense(spark, sf))).select("rows", "valid", "failed_peak", round6(F.col("p50")).alias("p50"))
