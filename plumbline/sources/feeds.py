@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,6 +54,34 @@ ENDPOINTS = {
 }
 
 
+#: The raw field that dates a row of an endpoint, and when the row is known.
+TIMING = {
+    "market_daily": ("trade_date", "eod"),
+    "adj_factor": ("trade_date", "eod"),
+    "index_weight": ("trade_date", "asof_snapshot"),
+    "suspend_d": ("trade_date", "eod"),
+    "stk_limit": ("trade_date", "eod"),
+    "namechange": ("start_date", "dimension_snapshot"),
+    "stock_basic": ("list_date", "dimension_snapshot"),
+    "daily_basic": ("trade_date", "same_day_publish"),
+    "fina_indicator": ("ann_date", "ann_date_disclosure"),
+    "index_member_all": ("in_date", "asof_interval"),
+    "stk_mins_1min": ("trade_time", "intraday"),
+}
+
+
+def known_at(endpoint: str, dated: Column, decided: Column, after_close: bool = False) -> Column:
+    """Whether a row dated so may be read on the day of a decision: what is known at the end of a day only after its close,
+    or on a later day; the rest from its own day on. Bars of a day are a matter of minutes: see pit.visible_bars."""
+    if endpoint not in TIMING:
+        raise KeyError(f"no endpoint {endpoint}; known: {', '.join(sorted(TIMING))}")
+    when = TIMING[endpoint][1]
+    if when == "intraday":
+        raise ValueError(f"{endpoint} is known by the minute")
+    late = when == "eod" and not after_close
+    return F.coalesce(dated < decided if late else dated <= decided, F.lit(False))
+
+
 def by_category(category: str) -> list[str]:
     return sorted(e.name for e in ENDPOINTS.values() if e.category == category)
 
