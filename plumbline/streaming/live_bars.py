@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.stores import VersionedTable
+from ..sources.stores import PartitionedTable, VersionedTable
 
 
 def live_bars(ticks: DataFrame, minutes: int = 1, late: str = "2 minutes") -> DataFrame:
@@ -28,11 +28,14 @@ def bursts(ticks: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -
     return out.select("symbol", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def upsert_batches(store: VersionedTable, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the latest row of each key; the same batch written twice changes nothing."""
+def upsert_batches(store: VersionedTable | PartitionedTable, keys: list[str], order: str, day_of: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps the latest row of each key; the same batch written twice changes nothing.
+
+    A versioned table is written anew at each batch. A table partitioned by `day`, the date of column day_of, has only
+    the days rewritten that a batch falls in, whatever is stored."""
 
     def sink(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            store.upsert(batch, keys, order)
+            store.upsert(batch.withColumn("day", F.to_date(day_of)) if day_of else batch, keys, order)
 
     return sink
