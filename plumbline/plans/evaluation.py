@@ -256,9 +256,12 @@ def report_predictive(spark: SparkSession, sf: str) -> DataFrame:
     return _row(spark, {k: p[k] for k in ("ic_mean", "ic_std", "ic_ir", "win_rate", "periods", "periods_without", "pearson_mean")} | {f"stale_{k}": v for k, v in p["stale"].items()})
 
 
+MONO = "SELECT date, CASE WHEN count(*) >= 3 AND min(ret) < max(ret) THEN corr(CAST(x AS DOUBLE), CAST(y AS DOUBLE)) END AS c FROM (SELECT *, rank() OVER (PARTITION BY date ORDER BY bucket) AS x, rank() OVER (PARTITION BY date ORDER BY ret) + (count(*) OVER (PARTITION BY date, ret) - 1) / 2.0 AS y FROM qret WHERE ret IS NOT NULL) GROUP BY date"
+
+
 @query("report_return_risk", oracle(f"""SELECT {R('avg(g)', 'gross')}, {', '.join(R(f'avg(g - {c} * 0.001::DOUBLE * t)', f'net_{c}') for c in (1, 2, 4))}, {R('avg(g - 0.001::DOUBLE * t)', 'aligned')},
   (SELECT {R('avg(c)')} FROM mono) AS monotonicity, (SELECT count(c) FROM mono) AS monotonicity_dates, {', '.join(f"(SELECT {R('avg(ret)')} FROM qret WHERE bucket = {k}) AS mean_{k}" for k in range(1, 6))} FROM spread""", "panel", **RCH, spread=SPREAD,
-    mono="SELECT date, CASE WHEN count(*) >= 3 AND min(ret) < max(ret) THEN corr(CAST(x AS DOUBLE), CAST(y AS DOUBLE)) END AS c FROM (SELECT *, rank() OVER (PARTITION BY date ORDER BY bucket) AS x, rank() OVER (PARTITION BY date ORDER BY ret) + (count(*) OVER (PARTITION BY date, ret) - 1) / 2.0 AS y FROM qret WHERE ret IS NOT NULL) GROUP BY date"))
+    mono=MONO))
 def report_return_risk(spark: SparkSession, sf: str) -> DataFrame:
     r = _report(spark, sf).sections["return_risk"]
     net = {f"net_{c:g}": v for c, v in r["net_by_cost"].items()}
@@ -272,9 +275,10 @@ def report_stability(spark: SparkSession, sf: str) -> DataFrame:
     return _row(spark, {f"rho_{k}": v for k, v in r["rank_autocorrelation"].items()} | {"half_life": r["half_life"], "legs_turnover": r["legs_turnover"]} | {f"cost_{c:g}": v for c, v in r["cost_a_year"].items()})
 
 
-@query("report_purity", oracle(f"""SELECT {_avg(_rank_corr('factor', 'vol', 'both_'))} AS correlation, {R('avg(c)', 'ic_beside')}, {R('avg(c) / stddev_samp(c)', 'incremental_ir')} FROM ({_rank_corr('res', 'fwd', 'resid')})""", "panel", mom=MOM, pairs=PAIRS, ret=RET,
-    both_=f"SELECT p.date, p.symbol, p.factor, v.v AS vol, p.fwd FROM pairs p JOIN (SELECT date, symbol, CASE WHEN count(ret) OVER w >= 20 THEN {R('stddev_samp(ret) OVER w')} END AS v FROM ret WINDOW w AS {win(20)}) v USING (date, symbol)",
-    resid="SELECT b.date, b.symbol, fwd, CASE WHEN n >= 3 AND sxx > 0 THEN floor((factor - my - sxy / sxx * (vol - mx)) * 1e12 + 0.5) / 1e12 END AS res FROM both_ b JOIN (SELECT date, count(*) AS n, avg(factor) AS my, avg(vol) AS mx, covar_pop(factor, vol) AS sxy, var_pop(vol) AS sxx FROM both_ WHERE factor IS NOT NULL AND vol IS NOT NULL GROUP BY date) s USING (date) WHERE factor IS NOT NULL AND vol IS NOT NULL"))
+PURE = {"both_": f"SELECT p.date, p.symbol, p.factor, v.v AS vol, p.fwd FROM pairs p JOIN (SELECT date, symbol, CASE WHEN count(ret) OVER w >= 20 THEN {R('stddev_samp(ret) OVER w')} END AS v FROM ret WINDOW w AS {win(20)}) v USING (date, symbol)", "resid": "SELECT b.date, b.symbol, fwd, CASE WHEN n >= 3 AND sxx > 0 THEN floor((factor - my - sxy / sxx * (vol - mx)) * 1e12 + 0.5) / 1e12 END AS res FROM both_ b JOIN (SELECT date, count(*) AS n, avg(factor) AS my, avg(vol) AS mx, covar_pop(factor, vol) AS sxy, var_pop(vol) AS sxx FROM both_ WHERE factor IS NOT NULL AND vol IS NOT NULL GROUP BY date) s USING (date) WHERE factor IS NOT NULL AND vol IS NOT NULL"}
+
+
+@query("report_purity", oracle(f"""SELECT {_avg(_rank_corr('factor', 'vol', 'both_'))} AS correlation, {R('avg(c)', 'ic_beside')}, {R('avg(c) / stddev_samp(c)', 'incremental_ir')} FROM ({_rank_corr('res', 'fwd', 'resid')})""", "panel", mom=MOM, pairs=PAIRS, ret=RET, **PURE))
 def report_purity(spark: SparkSession, sf: str) -> DataFrame:
     r = _report(spark, sf).sections["purity"]
     return _row(spark, {"correlation": r["correlation"]["vol"], "ic_beside": r["ic_beside"]["vol"], "incremental_ir": r["incremental_ir"]})
@@ -300,7 +304,34 @@ def report_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return _row(spark, {k: float(r[k]) if k == "size_median" else r[k] for k in keep}).withColumn("dropped", F.col("dropped").cast("int"))
 
 
-@query("eval_report_row")
+def _lag_sums(src: str) -> str:
+    """SQL of (k, r, n, v): lagged products of deviations of the series (i, c), gaps as zero, over their own square sum."""
+    return f"""SELECT a.i - b.i AS k, sum(a.d * b.d) AS r, any_value(a.n) AS n, any_value(a.v) AS v FROM (SELECT *, sum(d * d) OVER () AS v FROM (SELECT row_number() OVER (ORDER BY i) AS i, coalesce(c - m, 0) AS d, n FROM {src}, (SELECT avg(c) AS m, count(c) AS n FROM {src}))) a
+      JOIN (SELECT row_number() OVER (ORDER BY i) AS i, coalesce(c - m, 0) AS d FROM {src}, (SELECT avg(c) AS m FROM {src})) b ON a.i > b.i AND a.i - b.i < a.n GROUP BY 1"""
+
+
+def _n_eff(src: str) -> str:
+    return f"""(SELECT CASE WHEN 1 + 2 * s <= 0 THEN n ELSE least(n, greatest(1, n / (1 + 2 * s))) END FROM (SELECT any_value(n) AS n, coalesce(sum(r / v) FILTER (k < cut), 0) AS s FROM
+      (SELECT *, coalesce(min(k) FILTER (r <= 0 AND k > floor(4 * (n / 100.0) ** (2 / 9.0))) OVER (), 1000000) AS cut FROM ({_lag_sums(src)}))))"""
+
+
+def _nw_t(src: str) -> str:
+    return f"""(SELECT m / sqrt((v + 2 * s) / n / n) FROM (SELECT any_value(n) AS n, any_value(v) AS v, sum((1 - k / (floor(4 * (n / 100.0) ** (2 / 9.0)) + 1)) * r) AS s FROM ({_lag_sums(src)}) WHERE k <= floor(4 * (n / 100.0) ** (2 / 9.0))), (SELECT avg(c) AS m FROM {src}))"""
+
+
+_Z = "1.959963984540054::DOUBLE"
+_FACTS = f"""SELECT (SELECT avg(c) / stddev_samp(c) FROM icd) AS ir, (SELECT count(c) FROM icd) AS n, {_n_eff('icd')} AS ne, {_n_eff('ick')} AS nk, {_nw_t('icd')} AS t, (SELECT avg(CAST(round(c, 9) > 0 AS INT)) FROM ick) AS win, (SELECT date_diff('day', min(i), max(i)) FROM ick) AS span,
+  (SELECT avg(c) FROM mono) AS mm, (SELECT stddev_samp(c) FROM mono) / sqrt({_n_eff('mono')}) AS ms, (SELECT avg(c) / stddev_samp(c) FROM pure) AS pr, {_n_eff('pure')} AS pn, o.* FROM
+  (SELECT avg(c) FILTER (NOT {_LATE}) AS train, avg(c) FILTER ({_LATE}) AS test, avg(c) FILTER ({_LATE} AND h <= m) AS h1, avg(c) FILTER ({_LATE} AND h > m) AS h2 FROM (SELECT *, row_number() OVER (PARTITION BY {_LATE} ORDER BY i) AS h, count(*) FILTER ({_LATE}) OVER () // 2 AS m FROM (SELECT i, c, lead(i) OVER (ORDER BY i) AS r FROM icd))) o"""
+_AXES = f"""SELECT *, train IS NOT NULL AND test IS NOT NULL AS there, n < 12 OR ne < 24 OR span < 365 AS thin, ir - {_Z} * sqrt((1 + 0.5 * ir * ir) / nk) AS low, pr - {_Z} * sqrt((1 + 0.5 * pr * pr) / pn) AS plow FROM facts"""
+_STATES = f"""SELECT *, CASE WHEN there AND test < 0 THEN 'FAIL' WHEN thin OR NOT there THEN 'INSUFFICIENT_DATA' WHEN NOT coalesce(h1 > 0 AND h2 > 0 AND abs(ir) > 0.3 AND abs(t) > 2 AND win > 0.55, false) OR mm + {_Z} * ms < 0 THEN 'FAIL' WHEN NOT mm - {_Z} * ms > 0 THEN 'INSUFFICIENT_DATA' WHEN low > 0.3 THEN 'PASS' ELSE 'INSUFFICIENT_DATA' END AS predictive,
+  CASE WHEN thin OR pr IS NULL THEN 'INSUFFICIENT_DATA' WHEN NOT pr > 0.15 THEN 'FAIL' WHEN plow > 0.15 THEN 'PASS' ELSE 'INSUFFICIENT_DATA' END AS incremental FROM axes"""
+
+
+@query("eval_report_row", oracle(f"""SELECT {R('t', 't')}, {R('ne', 'n_eff')}, {R('low', 'icir_low')}, predictive, incremental, 'NOT_ASSESSED' AS tradable,
+  CASE WHEN 'FAIL' IN (predictive, incremental) THEN 'Reject' WHEN 'PASS' IN (predictive, incremental) THEN 'Watch' ELSE 'INSUFFICIENT-DATA' END AS decision FROM states""", "panel", **RCH, ret=RET, **PURE,
+    icd="SELECT date AS i, c FROM (SELECT DISTINCT date FROM pairs) LEFT JOIN icr USING (date)", ick="SELECT * FROM icd WHERE c IS NOT NULL", mono=f"SELECT date AS i, c FROM ({MONO}) WHERE c IS NOT NULL", pure=f"SELECT date AS i, c FROM ({_rank_corr('res', 'fwd', 'resid')}) WHERE c IS NOT NULL",
+    facts=_FACTS, axes=_AXES, states=_STATES))
 def eval_report_row(spark: SparkSession, sf: str) -> DataFrame:
     """The verdict, and what it is reached from; its parts have queries with SQL of their own."""
     r = _report(spark, sf)
